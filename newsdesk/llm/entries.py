@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from newsdesk.llm import chat_format, exact_dedup, token_files
+from newsdesk.llm import chat_format, exact_dedup, language_id, media, packing, token_files
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_media_columns": media.op8_media_columns,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
     "op10_token_files": token_files.op10_token_files,
 }
