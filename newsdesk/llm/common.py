@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: `[\x20\x09-\x0D]`: the white space that the contracts name, and what bytes.split() splits on.
 WS = r"[\x20\x09-\x0D]+"
@@ -109,3 +110,20 @@ def group_starts(rows: pa.Table, key: list[str]) -> np.ndarray:
         new[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(new)
 
+
+
+def skew_join(rows: DataFrame, lookup: DataFrame, key: list[str], weight: str, total: int, hot_share: float = 1e-3) -> DataFrame:
+    """`rows` left-joined with `lookup` (at most one row a key), whose column `weight` says how many rows have that key.
+
+    Keys with more than `hot_share` of the `total` rows are looked up by broadcast: there are at most 1 / hot_share
+    of them. Their rows, spread by a hash, pass through the join that serves the other keys. The looked-up columns
+    come as one struct `found`, null where the key has no entry.
+    """
+    least = max(2.0, hot_share * total)
+    values = F.struct(*[c for c in lookup.columns if c not in key])
+    hot = F.broadcast(lookup.where(F.col(weight) > least).select(*key, values.alias("hot")))
+    cold = lookup.where(F.col(weight) <= least).select(F.struct(*key, F.lit(0).cast("long").alias("spread")).alias("cold_key"), values.alias("cold"))
+    out = rows.join(hot, key, "left")
+    spread = F.when(F.col("hot").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)))
+    out = out.withColumn("cold_key", F.struct(*key, spread.cast("long").alias("spread")))
+    return out.join(cold, "cold_key", "left").withColumn("found", F.coalesce("hot", "cold")).drop("cold_key", "hot", "cold")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import WS, table
+from newsdesk.llm.common import WS, skew_join, table
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -37,28 +37,18 @@ def winners(rows: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, salts: int = 16, hot_share: float = 1e-3) -> DataFrame:
-    """`docs` with keep_id, group_size, kept and text_sha256.
-
-    A group with more than `hot_share` of all rows is looked up by broadcast, as there can be at most
-    1 / hot_share of them; the others are joined by digest.
-    """
+def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """`docs` with keep_id, group_size, kept and text_sha256."""
     names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id"), normalised(F.col("text")).alias("norm"))
     rows = rows.withColumn("digest", F.sha2("norm", 256))
     found = winners(rows.select("doc_id", "norm", "digest"), salts)
-    least = max(2.0, hot_share * docs.count())
-    hot = F.broadcast(found.where(F.col("group_size") > least).select(F.col("digest"), F.struct("keep_id", "group_size").alias("hot")))
-    cold = found.where(F.col("group_size") <= least).select(F.col("digest").alias("cold_key"), F.struct("keep_id", "group_size").alias("cold"))
-    spread = F.concat(F.lit("#"), F.xxhash64("row.doc_id").cast("string"))
-    out = rows.select("row", "digest").join(hot, "digest", "left")
-    out = out.withColumn("cold_key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(spread)).join(cold, "cold_key", "left")
-    won = F.coalesce("hot", "cold")
+    out = skew_join(rows.select("row", "digest"), found, ["digest"], "group_size", docs.count())
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in names],
-        won["keep_id"].alias("keep_id"),
-        won["group_size"].alias("group_size"),
-        F.col("row.doc_id").eqNullSafe(won["keep_id"]).alias("kept"),
+        F.col("found.keep_id").alias("keep_id"),
+        F.col("found.group_size").alias("group_size"),
+        F.col("row.doc_id").eqNullSafe(F.col("found.keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
