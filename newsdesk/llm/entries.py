@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from newsdesk.llm import chat_format, exact_dedup, language_id, media, near_dedup, packing, token_files
+from newsdesk.llm import chat_format, exact_dedup, language_id, media, near_dedup, packing, substring_dedup, token_files
 
 QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_media_columns": media.op8_media_columns,
