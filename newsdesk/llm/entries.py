@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from newsdesk.llm import chat_format, exact_dedup, language_id, media, near_dedup, packing, substring_dedup, token_files
+from newsdesk.llm import chat_format, exact_dedup, language_id, line_dedup, media, near_dedup, packing, sentencepieces, substring_dedup, token_files
 
 QUERIES = {
+    "op1_sentencepiece": sentencepieces.op1_sentencepiece,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,

@@ -6,11 +6,7 @@ compared a batch of hashes at a time; after each batch the pair is dropped when,
 posterior probability that its similarity reaches the threshold is below `MISS`. Survivors are verified exactly on
 their full shingle sets. Links of verified pairs are joined into components.
 
-Buckets of any size are handled without listing their pairs. Round 1 pairs each member with its bucket's leader.
-Later rounds look only at buckets that still hold several components: members are dealt into blocks, signatures
-are compared block against block in numpy, across components only, and each member sends its most similar untested
-partners to the exact check, more in each round. Rounds end when no plausible pair across components is untested,
-so the components are those of all links between candidates, without caps.
+Buckets of any size are handled without listing their pairs or capping them: see bucket_links.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^30 = 7e-6, and less above.
 
@@ -29,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import Scratch, group_starts, groups, skew_join, slices, table
-from newsdesk.llm.components import components
+from newsdesk.llm.bucket_links import BucketLinks
+from newsdesk.llm.common import Scratch, skew_join, slices, table
 from newsdesk.llm.words import mix, shingles, word_hashes
 
 U = np.uint64
@@ -38,7 +34,6 @@ ROWS, BANDS = 5, 30
 HASHES = ROWS * BANDS
 BATCH = 30
 MISS = 1e-6
-BLOCK = 256
 
 _I = np.arange(1, HASHES + 1, dtype=U)
 _FLIP = (mix(_I * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32)
@@ -61,12 +56,6 @@ def set_hash(found: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in two)
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    rows = np.ascontiguousarray(rows)
-    width = rows.shape[1] * rows.itemsize
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-
-
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     data = b"".join(column.to_pylist())
     return np.frombuffer(data, np.uint16).reshape(-1, HASHES)
@@ -122,51 +111,18 @@ def plausible(one: np.ndarray, other: np.ndarray, threshold: float, miss: float
     return alive, matches[alive]
 
 
-def _prune(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                kept, _ = plausible(_matrix(batch.column("sa")), _matrix(batch.column("sb")), threshold)
-                yield batch.select(["a", "b"]).take(pa.array(kept))
-
-    return run
-
-
-def _block_pairs(threshold: float, most: int):
-    """Plausible pairs across components within each group (key, low, high), at most `most` for a member."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, ["key", "low", "high"]):
-            starts = np.append(group_starts(rows, ["key", "low", "high"]), rows.num_rows)
-            node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
-            side = rows.column("block").to_numpy() == rows.column("low").to_numpy()
-            cross = rows.column("low").to_numpy() != rows.column("high").to_numpy()
-            sig = _matrix(rows.column("sig"))
-            lefts, rights = [], []
-            for at, to in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if cross[at]:
-                    one, other = at + np.flatnonzero(side[at:to]), at + np.flatnonzero(~side[at:to])
-                    i, j = np.repeat(one, len(other)), np.tile(other, len(one))
-                else:
-                    i, j = (at + x for x in np.triu_indices(to - at, 1))
-                apart = label[i] != label[j]
-                lefts.append(i[apart])
-                rights.append(j[apart])
-                if sum(map(len, lefts)) > 1 << 16 or to == rows.num_rows:
-                    i, j = np.concatenate(lefts), np.concatenate(rights)
-                    lefts, rights = [], []
-                    alive, matches = plausible(sig[i], sig[j], threshold)
-                    i, j = i[alive], j[alive]
-                    order = np.lexsort((-matches, i))
-                    i, j = i[order], j[order]
-                    first = np.searchsorted(i, i, "left")
-                    rank = np.arange(len(i)) - first
-                    kept = rank < most
-                    a, b = node[i], node[j]
-                    columns = [np.minimum(a, b)[kept], np.maximum(a, b)[kept], np.repeat(not kept.all(), int(kept.sum()))]
-                    yield pa.record_batch([pa.array(c) for c in columns], ["a", "b", "more"])
+def matcher(threshold: float):
+    def check(summaries: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sig = np.frombuffer(b"".join(summaries), np.uint16).reshape(-1, HASHES)
+        alive, matches = [], []
+        for at in range(0, len(left), 1 << 15):
+            kept, agree = plausible(sig[left[at : at + (1 << 15)]], sig[right[at : at + (1 << 15)]], threshold)
+            alive.append(kept + at)
+            matches.append(agree)
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *alive]), np.concatenate([none, *matches])
 
-    return run
+    return check
 
 
 def _sets(size: int):
@@ -183,17 +139,17 @@ def _sets(size: int):
     return run
 
 
-class NearDuplicates:
+class NearDuplicates(BucketLinks):
     """One run over `docs` (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs.select("doc_id", "text"), size, percent
-        self.scratch = Scratch(docs.sparkSession, "near-dedup")
-        self.threshold = percent / 100
+        scratch = Scratch(docs.sparkSession, "near-dedup")
         signed = self.docs.mapInArrow(_sign(size), "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
-        self.rows = self.scratch.write(signed, "rows")
+        self.rows = scratch.write(signed, "rows")
         alike = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.count("*").alias("n"))
-        self.classes = self.scratch.write(alike.withColumn("node", F.monotonically_increasing_id()), "classes")
+        self.classes = scratch.write(alike.withColumn("node", F.monotonically_increasing_id()), "classes")
+        super().__init__(scratch, self.classes.select("node", "sig"), matcher(percent / 100))
 
     def members(self) -> DataFrame:
         """(key, node, leader, n) of the buckets with several members."""
@@ -201,9 +157,6 @@ class NearDuplicates:
         leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
         return self.scratch.write(bands.join(leaders, "key"), "members")
 
-    def signed(self, name: str, sig: str) -> DataFrame:
-        return self.classes.select(F.col("node").alias(name), F.col("sig").alias(sig))
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of plausible (a, b), those whose full sets reach the threshold."""
         nodes = self.scratch.write(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
@@ -220,42 +173,9 @@ class NearDuplicates:
         self.scratch.drop(sets, nodes)
         return links
 
-    def components(self) -> DataFrame:
-        """(node, component) of the classes that have a link."""
-        members = self.members()
-        stars = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        signed = stars.join(self.signed("a", "sa"), "a").join(self.signed("b", "sb"), "b")
-        tested = self.scratch.write(signed.mapInArrow(_prune(self.threshold), "a long, b long"), "pairs")
-        links = self.verified(tested)
-        most = 8
-        while True:
-            found = self.scratch.write(components(links, self.scratch), "components")
-            pairs, more = self.crossing(members, found, tested, most)
-            if pairs.isEmpty():
-                if not more:
-                    return found
-            else:
-                links, tested = links.unionByName(self.verified(pairs)), tested.unionByName(pairs)
-            most *= 8
-
-    def crossing(self, members: DataFrame, found: DataFrame, tested: DataFrame, most: int) -> tuple[DataFrame, bool]:
-        """Untested plausible pairs across components in one bucket, and whether a member has more of them."""
-        label = F.coalesce("component", "node").alias("label")
-        named = members.join(found, "node", "left").select("key", "node", "n", label)
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        dealt = named.join(mixed, "key").withColumn("block", F.pmod(F.hash("node"), blocks))
-        dealt = dealt.join(self.signed("node", "sig"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "label", "sig")
-        sides = ["key", "low", "high"]
-        pairs = dealt.repartition(*sides).sortWithinPartitions(*sides).mapInArrow(_block_pairs(self.threshold, most), "a long, b long, more boolean")
-        pairs = self.scratch.write(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "crossing")
-        more = not pairs.where("more").isEmpty()
-        return self.scratch.write(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs"), more
-
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept, k1, k2), one row per row of the input."""
-        found = self.classes.select("k1", "k2", "rep", "n", "node").join(self.components(), "node", "left")
+        found = self.classes.select("k1", "k2", "rep", "n", "node").join(self.components(self.members()), "node", "left")
         found = found.withColumn("component", F.coalesce("component", "node"))
         least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
         lookup = found.join(least, "component").select("k1", "k2", "n", "component_id")
