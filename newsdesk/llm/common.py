@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: `[\x20\x09-\x0D]`: the white space that the contracts name, and what bytes.split() splits on.
 WS = r"[\x20\x09-\x0D]+"
@@ -53,6 +54,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_fields(rows: DataFrame, more: str, without: tuple[str, ...] = ()) -> T.StructType:
+    """The schema of `rows`, less some columns, and the fields of a DDL string."""
+    return T.StructType([f for f in rows.schema.fields if f.name not in without] + T.StructType.fromDDL(more).fields)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

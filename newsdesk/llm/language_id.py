@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import slices, table
+from newsdesk.llm.common import slices, table, with_fields
 
 BUCKETS = 1 << 16
 UND = "und"
@@ -133,11 +133,10 @@ def _predict(shared):
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred and score (the posterior probability of that language)."""
+    """`docs` with lang_pred and score, in place of any columns of these names (the posterior probability of that language)."""
     rows = docs.drop("lang_pred", "score")
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared), with_fields(rows, "lang_pred string, score double"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

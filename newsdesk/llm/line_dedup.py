@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from newsdesk.llm.bucket_links import BucketLinks
 from newsdesk.llm.chat_format import ranges
-from newsdesk.llm.common import Scratch, skew_join, slices, table
+from newsdesk.llm.common import Scratch, skew_join, slices, table, with_fields
 from newsdesk.llm.words import mix
 
 U = np.uint64
@@ -242,8 +242,7 @@ def remove_lines(docs: DataFrame, tau: int = 2, least: int = 24) -> DataFrame:
     rows = docs.drop("n_lines", "n_removed", "kept", "kept_sha256", "gone", "d")
     found = duplicate_lines(rows, tau, least)
     joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(found, "d", "left").drop("d")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return joined.mapInArrow(_drop, f"{fields}, n_lines long, n_removed long, kept string, kept_sha256 string")
+    return joined.mapInArrow(_drop, with_fields(rows, "n_lines long, n_removed long, kept string, kept_sha256 string"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,9 +69,9 @@ def _sign(size: int):
             signed = iter(signatures(full)) if full else iter(())
             sigs = [next(signed).tobytes() if len(s) else None for s in sets]
             keys = [set_hash(s) for s in sets]
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64())]
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
-            yield pa.record_batch([*columns, pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+            yield pa.record_batch([*columns, pa.array(sigs, pa.binary())], ["doc_id", "h", "n_shingles", "k1", "k2", "sig"])
 
     return run
 
@@ -143,9 +143,9 @@ class NearDuplicates(BucketLinks):
     """One run over `docs` (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
-        self.docs, self.size, self.percent = docs.select("doc_id", "text"), size, percent
+        self.docs, self.size, self.percent = docs.select("doc_id", "text", F.xxhash64("text").alias("h")), size, percent
         scratch = Scratch(docs.sparkSession, "near-dedup")
-        signed = self.docs.mapInArrow(_sign(size), "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+        signed = self.docs.mapInArrow(_sign(size), "doc_id long, h long, n_shingles long, k1 long, k2 long, sig binary")
         self.rows = scratch.write(signed, "rows")
         alike = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.count("*").alias("n"))
         self.classes = scratch.write(alike.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -174,20 +174,26 @@ class NearDuplicates(BucketLinks):
         return links
 
     def result(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id, kept, k1, k2), one row per row of the input."""
+        """(doc_id, n_shingles, component_id, kept, h), one row per row of the input; h is xxhash64 of its text."""
         found = self.classes.select("k1", "k2", "rep", "n", "node").join(self.components(self.members()), "node", "left")
         found = found.withColumn("component", F.coalesce("component", "node"))
         least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
         lookup = found.join(least, "component").select("k1", "k2", "n", "component_id")
-        rows = skew_join(self.rows.select("doc_id", "n_shingles", "k1", "k2"), lookup, ["k1", "k2"], "n", self.rows.count())
+        rows = skew_join(self.rows.select("doc_id", "h", "n_shingles", "k1", "k2"), lookup, ["k1", "k2"], "n", self.rows.count())
         component = F.when(F.col("n_shingles") > 0, F.col("found.component_id")).otherwise(F.col("doc_id"))
         out = rows.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-        return out.select("doc_id", "n_shingles", "component_id", "kept", "k1", "k2")
+        return out.select("doc_id", "n_shingles", "component_id", "kept", "h")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents linked at a Jaccard similarity of `percent` / 100."""
-    return NearDuplicates(docs, size, percent).result().drop("k1", "k2")
+    return NearDuplicates(docs, size, percent).result().drop("h")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay: of each component, those with its smallest doc_id."""
+    gone = NearDuplicates(docs, size, percent).result().where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_h")), "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.llm.chat_format import ranges
-from newsdesk.llm.common import slices, table
+from newsdesk.llm.common import slices, table, with_fields
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -181,8 +181,7 @@ def _encode(path: str):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """`docs` with ids: the text's ids as little-endian unsigned integers of 16 bits (32 for over 65,536 pieces)."""
     rows = docs.drop("ids")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_encode(path), f"{fields}, ids binary")
+    return rows.mapInArrow(_encode(path), with_fields(rows, "ids binary"))
 
 
 def _decode(path: str):
@@ -200,8 +199,8 @@ def _decode(path: str):
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` with n_ids, ids_crc32 (over unsigned 32-bit integers) and decoded in place of ids."""
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name not in ("ids", "decoded"))
-    return encoded.mapInArrow(_decode(path), f"{rest}, n_ids long, ids_crc32 long, decoded string")
+    more = "n_ids long, ids_crc32 long, decoded string"
+    return encoded.mapInArrow(_decode(path), with_fields(encoded, more, ("ids", "decoded")))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

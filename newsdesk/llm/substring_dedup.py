@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.llm.chat_format import ranges
-from newsdesk.llm.common import Scratch, group_starts, groups, skew_join, slices, table
+from newsdesk.llm.common import Scratch, group_starts, groups, skew_join, slices, table, with_fields
 from newsdesk.llm.words import mix, word_hashes
 
 U = np.uint64
@@ -270,8 +270,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.drop("n_words", "n_removed", "kept", "kept_sha256", "marks", "d")
     found = marks(rows, Scratch(docs.sparkSession, "substring-dedup"))
     joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(found, "d", "left").drop("d")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return joined.mapInArrow(_remove, f"{fields}, n_words long, n_removed long, kept string, kept_sha256 string")
+    return joined.mapInArrow(_remove, with_fields(rows, "n_words long, n_removed long, kept string, kept_sha256 string"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
