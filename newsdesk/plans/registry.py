@@ -1,4 +1,5 @@
 """Named queries over the driver's tables, and their twins in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from newsdesk.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
