@@ -11,7 +11,7 @@ from newsdesk.params import RankParams
 def recency(latest_at: Column, now: Column, half_life_hours: float = 10.0) -> Column:
     """1 at the run instant, halved every `half_life_hours`; 0 without a date."""
     age = F.greatest(F.lit(0.0), (now.cast("double") - latest_at.cast("double")) / 3600)
-    return F.coalesce(F.pow(F.lit(2.0), -age / half_life_hours), F.lit(0.0))
+    return F.when(latest_at.isNotNull(), F.pow(F.lit(2.0), -age / half_life_hours)).otherwise(F.lit(0.0))  # greatest() skips nulls
 
 
 def score(now: Column, p: RankParams = RankParams()) -> Column:
