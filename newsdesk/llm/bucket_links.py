@@ -1,15 +1,17 @@
 """Links between classes that share buckets, joined into components, whatever the size of a bucket.
 
-Round 1 pairs each member with its bucket's leader. Later rounds look only at buckets that still hold several
-components: members are dealt into blocks, cheap summaries are compared block against block in numpy, across
-components only, and each member sends its most similar untested partners to the exact check, more in each round.
-Rounds end when no plausible pair across components is untested, so the components are those of all links between
-members of one bucket: nothing is capped and no bucket's pairs are listed.
+Round 1 pairs each member with its bucket's leader, the smallest member: a cheap check of the two summaries, then
+the exact one. That joins what most buckets hold. Round 2 is for leaders whose buckets still hold several
+components. Their members, each once per leader, are dealt into blocks: those outside the leader's most frequent
+component on one side, all on the other. Summaries are compared block against block and across components only; the
+members with a plausible partner are dealt again with what the exact check needs, and it runs inside the blocks.
+A block gives at most one link for a member and a component, so no bucket's pairs are ever rows, nothing is capped,
+and the components are those of all links between members of one bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,106 +19,145 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.llm.common import Scratch, group_starts, groups
-from newsdesk.llm.components import components
+from newsdesk.llm.components import components, joined_components
 
-BLOCK = 256
+BLOCK = 512
 
-#: (summaries, left rows, right rows) -> (positions of the plausible pairs, their rank of similarity: higher first)
-Matcher = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
+class Similarity:
+    """What links two classes: a cheap check of summaries (bytes of one length each) and the exact one of payloads."""
 
-def _block_pairs(matcher: Matcher, most: int):
-    """Plausible pairs across components within each group (key, low, high), at most `most` for a member."""
+    def matrix(self, summaries: list[bytes]) -> np.ndarray:
+        """One row for each summary."""
+        raise NotImplementedError
+
+    def plausible(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Rows at which the two matrices (or one row and a matrix) may belong to a link."""
+        raise NotImplementedError
+
+    def linked(self, one: list, other: list, apart: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each of `one`, the rows of `other` that are linked with it; apart[i, j] says which pairs matter."""
+        raise NotImplementedError
 
-    def pairs(node: np.ndarray, summaries: list[bytes], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        alive, rank = matcher(summaries, i, j)
-        i, j = i[alive], j[alive]
-        order = np.lexsort((-rank, i))
-        i, j = i[order], j[order]
-        kept = np.arange(len(i)) - np.searchsorted(i, i, "left") < most
-        more = np.zeros(len(node), bool)
-        more[i[~kept]] = True
-        i, j = i[kept], j[kept]
-        columns = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), more[i]]
-        return pa.record_batch([pa.array(c) for c in columns], ["a", "b", "more"])
+
+def _sides(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each group (leader, left, right) the rows of its two sides, if it has both."""
+    starts = np.append(group_starts(rows, ["leader", "left", "right"]), rows.num_rows)
+    is_left = rows.column("is_left").to_numpy(zero_copy_only=False)
+    for at, to in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        side = is_left[at:to]
+        if side.any() and not side.all():
+            yield at + np.flatnonzero(side), at + np.flatnonzero(~side)
+
+
+def _plausible(kind: Similarity):
+    """(leader, node) of members with a plausible partner across components in their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, ["key", "low", "high"]):
-            starts = np.append(group_starts(rows, ["key", "low", "high"]), rows.num_rows)
-            node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
-            side = rows.column("block").to_numpy() == rows.column("low").to_numpy()
-            cross = rows.column("low").to_numpy() != rows.column("high").to_numpy()
-            summaries = rows.column("sig").to_pylist()
-            lefts, rights, size = [], [], 0
-            for at, to in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if cross[at]:
-                    one, other = at + np.flatnonzero(side[at:to]), at + np.flatnonzero(~side[at:to])
-                    i, j = np.repeat(one, len(other)), np.tile(other, len(one))
-                else:
-                    i, j = (at + x for x in np.triu_indices(to - at, 1))
-                apart = label[i] != label[j]
-                lefts.append(i[apart])
-                rights.append(j[apart])
-                size += int(apart.sum())
-                if size > 1 << 16 or to == rows.num_rows:
-                    yield pairs(node, summaries, np.concatenate(lefts), np.concatenate(rights))
-                    lefts, rights, size = [], [], 0
+        for rows in groups(batches, ["leader", "left", "right"]):
+            label = rows.column("label").to_numpy()
+            matrix = kind.matrix(rows.column("sig").to_pylist())
+            hit = np.zeros(rows.num_rows, bool)
+            for one, other in _sides(rows):
+                for i in one.tolist():
+                    apart = other[label[other] != label[i]]
+                    found = apart[kind.plausible(matrix[i], matrix[apart])]
+                    if len(found):
+                        hit[i] = True
+                        hit[found] = True
+            yield from rows.select(["leader", "node"]).filter(pa.array(hit)).to_batches()
 
     return run
 
 
-class BucketLinks:
-    """What a similarity defines: the classes' summaries, the cheap check of pairs and the exact one."""
+def _links(kind: Similarity):
+    """(a, b) of linked members across components: one for each member of the left side and component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, ["leader", "left", "right"]):
+            label, node = rows.column("label").to_numpy(), rows.column("node").to_numpy()
+            payload = rows.column("payload").combine_chunks() if isinstance(rows.column("payload"), pa.ChunkedArray) else rows.column("payload")
+            for one, other in _sides(rows):
+                apart = label[one][:, None] != label[other][None]
+                some = other[apart.any(axis=0)]
+                apart = apart[:, apart.any(axis=0)]
+                left, right = (_values(payload.take(pa.array(x))) for x in (one, some))
+                a, b = [], []
+                for i, found in kind.linked(left, right, apart):
+                    first = found[np.unique(label[some[found]], return_index=True)[1]]
+                    a.append(np.full(len(first), node[one[i]]))
+                    b.append(node[some[first]])
+                if a:
+                    yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def _values(column: pa.Array) -> list:
+    if pa.types.is_list(column.type):
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return column.to_pylist()
 
-    def __init__(self, scratch: Scratch, summaries: DataFrame, matcher: Matcher):
+
+class BucketLinks:
+    def __init__(self, scratch: Scratch, summaries: DataFrame, kind: Similarity):
         """summaries: (node, sig)."""
-        self.scratch, self.summaries, self.matcher = scratch, summaries, matcher
+        self.scratch, self.summaries, self.kind = scratch, summaries, kind
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those that are links."""
         raise NotImplementedError
 
+    def payloads(self, nodes: DataFrame) -> DataFrame:
+        """(node, payload) that the exact check needs, for (node)."""
+        raise NotImplementedError
+
     def pruned(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those that the cheap check lets pass."""
-        matcher = self.matcher
+        kind = self.kind
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n = batch.num_rows
-                if n:
-                    both = batch.column("sa").to_pylist() + batch.column("sb").to_pylist()
-                    alive, _ = matcher(both, np.arange(n), np.arange(n, 2 * n))
-                    yield batch.select(["a", "b"]).take(pa.array(alive))
+                if batch.num_rows:
+                    found = kind.plausible(kind.matrix(batch.column("sa").to_pylist()), kind.matrix(batch.column("sb").to_pylist()))
+                    yield batch.select(["a", "b"]).take(pa.array(found))
 
         one, other = (self.summaries.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
         return pairs.join(one, "a").join(other, "b").mapInArrow(run, "a long, b long")
 
     def components(self, members: DataFrame) -> DataFrame:
-        """(node, component) of the nodes that have a link; members: (key, node, leader, n), n members a key."""
-        stars = members.where("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-        tested = self.scratch.write(self.pruned(stars.distinct()), "pairs")
-        links = self.verified(tested)
-        most = 8
-        while True:
-            found = self.scratch.write(components(links, self.scratch), "components")
-            pairs, more = self._crossing(members, found, tested, most)
-            if not pairs.isEmpty():
-                links, tested = links.unionByName(self.verified(pairs)), tested.unionByName(pairs)
-            elif not more:
-                return found
-            most *= 8
-
-    def _crossing(self, members: DataFrame, found: DataFrame, tested: DataFrame, most: int) -> tuple[DataFrame, bool]:
-        """Untested plausible pairs across components in one bucket, and whether a member has more of them."""
+        """(node, component) of the nodes that have a link; members: written (leader, node) with node != leader."""
+        stars = members.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+        tested = self.scratch.write(self.pruned(stars), "pairs")
+        found = self.scratch.write(components(self.verified(tested), self.scratch), "components")
+
+        everyone = members.unionByName(members.select("leader", F.col("leader").alias("node")).distinct())
         label = F.coalesce("component", "node").alias("label")
-        named = members.join(found, "node", "left").select("key", "node", "n", label)
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        dealt = named.join(mixed, "key").withColumn("block", F.pmod(F.hash("node"), blocks))
-        dealt = dealt.join(self.summaries.select("node", "sig"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "label", "sig")
-        sides = ["key", "low", "high"]
-        pairs = dealt.repartition(*sides).sortWithinPartitions(*sides).mapInArrow(_block_pairs(self.matcher, most), "a long, b long, more boolean")
-        pairs = self.scratch.write(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "crossing")
-        more = not pairs.where("more").isEmpty()
-        return self.scratch.write(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs"), more
+        rows = everyone.join(found, "node", "left").select("leader", "node", label)
+        hit = self.dealt(rows).join(self.summaries, "node")
+        hit = self.in_groups(hit, "sig").mapInArrow(_plausible(self.kind), "leader long, node long").distinct()
+        hit = self.scratch.write(hit.join(found, "node", "left").select("leader", "node", label), "residual")
+        nodes = self.scratch.write(hit.select("node").distinct(), "nodes")
+        links = self.dealt(hit).join(self.payloads(nodes), "node")
+        links = self.scratch.write(self.in_groups(links, "payload").mapInArrow(_links(self.kind), "a long, b long").distinct(), "links")
+        return self.scratch.write(joined_components(found, links, self.scratch), "components")
+
+    @staticmethod
+    def dealt(rows: DataFrame) -> DataFrame:
+        """(leader, left, right, is_left, node, label): the two sides of each leader's rows (leader, node, label), in blocks."""
+        sizes = rows.groupBy("leader", "label").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy("leader").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("in_main"), F.count("*").alias("labels"))
+        rows = rows.join(sizes.where("labels > 1"), "leader")
+        lefts = F.ceil((F.col("all") - F.col("in_main")) / BLOCK).cast("int")
+        rights = F.ceil(F.col("all") / BLOCK).cast("int")
+        block = lambda n: F.pmod(F.hash("node"), n)
+        spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = rows.where("label != main").select("leader", block(lefts).alias("left"), spread(rights).alias("right"), F.lit(True).alias("is_left"), "node", "label")
+        right = rows.select("leader", spread(lefts).alias("left"), block(rights).alias("right"), F.lit(False).alias("is_left"), "node", "label")
+        return left.unionByName(right)
+
+    @staticmethod
+    def in_groups(rows: DataFrame, *more: str) -> DataFrame:
+        key = ["leader", "left", "right"]
+        return rows.select(*key, "is_left", "node", "label", *more).repartition(*key).sortWithinPartitions(*key)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.bucket_links import BucketLinks
+from newsdesk.llm.bucket_links import BucketLinks, Similarity
 from newsdesk.llm.chat_format import ranges
 from newsdesk.llm.common import Scratch, skew_join, slices, table, with_fields
 from newsdesk.llm.words import mix
@@ -165,17 +165,26 @@ def _within(tau: int):
     return run
 
 
-def matcher(tau: int):
-    def check(sigs: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.frombuffer(b"".join(sigs), np.int8).reshape(-1, CELLS)
-        apart = np.empty(len(left), np.int64)
-        for at in range(0, len(left), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            apart[part] = np.abs((rows[left[part]] - rows[right[part]]).astype(np.int64)).sum(axis=1)
-        alive = np.flatnonzero(apart <= 2 * tau)
-        return alive, -apart[alive]
+class Edits(Similarity):
+    """Counts of characters as summaries; lines by their edit distance."""
 
-    return check
+    def __init__(self, tau: int):
+        self.tau = tau
+
+    def matrix(self, summaries: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(summaries), np.int8).reshape(-1, CELLS)
+
+    def plausible(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.abs((one - other).astype(np.int64)).sum(axis=1) <= 2 * self.tau)
+
+    def linked(self, one: list, other: list, apart: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        a, b = self.matrix([r.tobytes() for r in summaries(one)]), self.matrix([r.tobytes() for r in summaries(other)])
+        for i, line in enumerate(one):
+            some = np.flatnonzero(apart[i])
+            some = some[self.plausible(a[i], b[some])]
+            found = some[within([line] * len(some), [other[j] for j in some], self.tau)] if len(some) else some
+            if len(found):
+                yield i, found
 
 
 class LineLinks(BucketLinks):
@@ -183,15 +192,18 @@ class LineLinks(BucketLinks):
         """lines: written (node, line)."""
         self.lines, self.tau = lines, tau
         sigs = scratch.write(lines.mapInArrow(_summaries, "node long, sig binary"), "summaries")
-        super().__init__(scratch, sigs, matcher(tau))
+        super().__init__(scratch, sigs, Edits(tau))
 
     def members(self) -> DataFrame:
-        """(key, node, leader, n) of buckets with an index entry and another line; one shuffle serves both reads."""
+        """(leader, node) of lines that share a bucket with an indexed one, the smallest of these; one shuffle serves both reads."""
         met = self.lines.mapInArrow(_entries(self.tau), "key long, node long, is_index boolean").repartition("key")
         leader = F.min(F.when(F.col("is_index"), F.col("node")))
-        ends = met.groupBy("key").agg(leader.alias("leader"), F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("n"))
-        ends = ends.where("leader is not null and x < y").select("key", "leader", "n")
-        return self.scratch.write(met.join(ends, "key").select("key", "node", "leader", "n").distinct(), "members")
+        ends = met.groupBy("key").agg(leader.alias("leader"), F.min("node").alias("x"), F.max("node").alias("y"))
+        ends = ends.where("leader is not null and x < y").select("key", "leader")
+        return self.scratch.write(met.join(ends, "key").where("node != leader").select("leader", "node").distinct(), "members")
+
+    def payloads(self, nodes: DataFrame) -> DataFrame:
+        return nodes.join(self.lines.select("node", F.col("line").alias("payload")), "node")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         one, other = (self.lines.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.bucket_links import BucketLinks
+from newsdesk.llm.bucket_links import BucketLinks, Similarity
 from newsdesk.llm.common import Scratch, skew_join, slices, table
 from newsdesk.llm.words import mix, shingles, word_hashes
 
@@ -56,11 +56,6 @@ def set_hash(found: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in two)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, np.uint16).reshape(-1, HASHES)
-
-
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -80,7 +75,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = _matrix(batch.column("sig")).reshape(-1, BANDS, ROWS).astype(U)
+        rows = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(U)
         key = np.broadcast_to(np.arange(BANDS, dtype=U), rows.shape[:2])
         for k in range(ROWS):
             key = key * U(0xC2B2AE3D27D4EB4F) + rows[:, :, k]
@@ -101,28 +96,38 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
     return np.array(out)
 
 
-def plausible(one: np.ndarray, other: np.ndarray, threshold: float, miss: float = MISS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the two signature matrices that may reach the threshold, and their matches."""
-    alive, matches = np.arange(len(one)), np.zeros(len(one), np.int64)
-    for k, least in enumerate(least_matches(threshold, miss).tolist()):
-        part = slice(k * BATCH, (k + 1) * BATCH)
-        matches[alive] += (one[alive, part] == other[alive, part]).sum(axis=1)
-        alive = alive[matches[alive] >= least]
-    return alive, matches[alive]
-
-
-def matcher(threshold: float):
-    def check(summaries: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(summaries), np.uint16).reshape(-1, HASHES)
-        alive, matches = [], []
-        for at in range(0, len(left), 1 << 15):
-            kept, agree = plausible(sig[left[at : at + (1 << 15)]], sig[right[at : at + (1 << 15)]], threshold)
-            alive.append(kept + at)
-            matches.append(agree)
-        none = np.empty(0, np.int64)
-        return np.concatenate([none, *alive]), np.concatenate([none, *matches])
-
-    return check
+class Jaccard(Similarity):
+    """Signatures by sequential Bayesian pruning; shingle sets exactly."""
+
+    def __init__(self, percent: int, miss: float = MISS):
+        self.percent, self.miss = percent, miss
+
+    def matrix(self, summaries: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(summaries), np.uint16).reshape(-1, HASHES)
+
+    def plausible(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        alive, matches = np.arange(len(other)), np.zeros(len(other), np.int64)
+        for k, least in enumerate(least_matches(self.percent / 100, self.miss).tolist()):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            own = one[part] if one.ndim == 1 else one[alive, part]
+            matches[alive] += (own == other[alive, part]).sum(axis=1)
+            alive = alive[matches[alive] >= least]
+        return alive
+
+    def linked(self, one: list, other: list, apart: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Shared shingles of one set with all others at a time: a lookup table and a sum by set."""
+        words, place = np.unique(np.concatenate(other), return_inverse=True)
+        sizes = np.array([len(x) for x in other])
+        starts = np.cumsum(sizes) - sizes
+        for i, own in enumerate(one):
+            at = np.searchsorted(words, own)
+            at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]
+            has = np.zeros(len(words), bool)
+            has[at] = True
+            shared = np.add.reduceat(has[place], starts, dtype=np.int64)
+            found = np.flatnonzero((100 * shared >= self.percent * (len(own) + sizes - shared)) & apart[i])
+            if len(found):
+                yield i, found
 
 
 def _sets(size: int):
@@ -134,7 +139,7 @@ def _sets(size: int):
             chosen = np.flatnonzero((same == own).all(axis=1)).tolist()
             ends = np.cumsum([0, *(len(sets[i]) for i in chosen)]).astype(np.int32)
             values = np.concatenate([sets[i] for i in chosen]).view(np.int64) if chosen else np.empty(0, np.int64)
-            yield pa.record_batch([batch.column("node").take(pa.array(chosen, pa.int64())), pa.ListArray.from_arrays(ends, values)], ["node", "members"])
+            yield pa.record_batch([batch.column("node").take(pa.array(chosen, pa.int64())), pa.ListArray.from_arrays(ends, values)], ["node", "payload"])
 
     return run
 
@@ -149,29 +154,28 @@ class NearDuplicates(BucketLinks):
         self.rows = scratch.write(signed, "rows")
         alike = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.count("*").alias("n"))
         self.classes = scratch.write(alike.withColumn("node", F.monotonically_increasing_id()), "classes")
-        super().__init__(scratch, self.classes.select("node", "sig"), matcher(percent / 100))
+        super().__init__(scratch, self.classes.select("node", "sig"), Jaccard(percent))
 
     def members(self) -> DataFrame:
-        """(key, node, leader, n) of the buckets with several members."""
+        """(leader, node) of classes that share a bucket with a smaller one, its smallest."""
         bands = self.classes.select("node", "sig").mapInArrow(_bands, "key long, node long")
-        leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        return self.scratch.write(bands.join(leaders, "key"), "members")
+        leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+        return self.scratch.write(bands.join(leaders, "key").where("node != leader").select("leader", "node").distinct(), "members")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of plausible (a, b), those whose full sets reach the threshold."""
-        nodes = self.scratch.write(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    def payloads(self, nodes: DataFrame) -> DataFrame:
+        """The shingle sets of (node), from the texts of one document of each class."""
         wanted = nodes.join(self.classes.select("node", "rep", "k1", "k2"), "node")
         texts = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node", "k1", "k2")
-        sets = texts.mapInArrow(_sets(self.size), "node long, members array<long>").dropDuplicates(["node"])
-        sets = self.scratch.write(sets, "sets")
-        one = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-        other = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-        both = pairs.join(one, "a").join(other, "b")
+        return self.scratch.write(texts.mapInArrow(_sets(self.size), "node long, payload array<long>").dropDuplicates(["node"]), "sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = self.payloads(self.scratch.write(nodes, "nodes"))
+        one, other = (sets.select(F.col("node").alias(x), F.col("payload").alias(f"m{x}")) for x in "ab")
         shared = F.size(F.array_intersect("ma", "mb")).cast("long")
         all_of = F.size("ma") + F.size("mb") - shared
-        links = self.scratch.write(both.where(100 * shared >= self.percent * all_of).select("a", "b"), "links")
-        self.scratch.drop(sets, nodes)
-        return links
+        links = pairs.join(one, "a").join(other, "b").where(100 * shared >= self.percent * all_of).select("a", "b")
+        return self.scratch.write(links, "links")
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept, h), one row per row of the input; h is xxhash64 of its text."""
