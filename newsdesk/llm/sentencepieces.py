@@ -18,6 +18,7 @@ length are encoded whole; an empty table gives no rows; repeated rows are encode
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import re
@@ -40,7 +41,7 @@ UNIGRAM, BPE = 1, 2
 class Pieces:
     """A model's pieces, its words' encodings (at most twice `most` are kept) and the tables for decoding."""
 
-    def __init__(self, path: str | bytes, most: int = 150_000):
+    def __init__(self, path: str | bytes, most: int = 60_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -63,7 +64,9 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.unknown, self.unknown_score = model.unk_id(), min(self.scores.values()) - 10.0
         self.kind = proto.trainer_spec.model_type
-        self.most, self.words, self.old, self.pairs = most, {}, {}, {}
+        self.most, self.words, self.old, self.pairs, self.n_pairs, self.timelines = most, {}, {}, {}, 0, {}
+        tails = {name[k:] for name in self.ids for k in range(len(name))}
+        self.tails = {t: t in self.ids for t in tails}  # how pieces end -> whether that is a piece
         self.dtype = np.dtype("<u2" if len(names) <= 1 << 16 else "<u4")
         raw = [b"" if model.is_control(i) else bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
         raw[self.unknown] = " ⁇ ".encode()
@@ -73,72 +76,107 @@ class Pieces:
 
     # BPE
 
-    def merged(self, text: str) -> list[str]:
-        """BPE of a short string: the best-scored neighbours merge first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def fits(self, u: str, t: str) -> bool:
-        """Whether u and t stay as they are side by side (u is empty at the start of a word)."""
-        key = (u, t)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= 8 * self.most:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(u + t) == ([u, t] if u else [t])
+    def timeline(self, piece: str) -> tuple | None:
+        """How a piece merges by itself, best-scored neighbours first, the leftmost of equals: after each merge (score of
+        the next one, first part, last part); None if it doesn't end as one part."""
+        known = self.timelines.get(piece, ())
+        if known == ():
+            parts, steps = list(piece), []
+            while True:
+                best, at = None, -1
+                for k in range(len(parts) - 1):
+                    score = self.scores.get(parts[k] + parts[k + 1])
+                    if score is not None and (best is None or score > best):
+                        best, at = score, k
+                steps.append((best, parts[0], parts[-1]))
+                if best is None:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known = self.timelines[piece] = tuple(steps) if len(parts) == 1 else None
         return known
 
-    def _step_bpe(self, word: str, end: int, states: list) -> str:
-        for size in range(min(end, self.longest), 0, -1):
-            t = word[end - size : end]
-            if (size == 1 or t in self.ids) and self.fits(states[end - size], t):
-                return t
-        raise AssertionError("every prefix has an encoding")
-
-    # Unigram
-
-    def _step_unigram(self, word: str, end: int, states: list) -> tuple[float, str]:
-        best = None
-        for size in range(min(end, self.longest), 0, -1):
-            t = word[end - size : end]
-            score = self.scores.get(t, self.unknown_score if size == 1 else None)
-            if score is not None and (best is None or states[end - size][0] + score > best[0]):
-                best = (states[end - size][0] + score, t)
-        return best
+    def fits(self, u: str, t: str) -> bool:
+        """Whether u and t stay as they are side by side (u is empty at the start of a word).
+
+        Each merges by itself as long as its next merge is at least as good as one across the border.
+        """
+        right = self.timeline(t)
+        left = self.timeline(u) if u else ()
+        if left is None or right is None:
+            return False
+        i = j = 0
+        while u:
+            across = self.scores.get(left[i][2] + right[j][1])
+            mine, theirs = left[i][0], right[j][0]
+            if across is not None and (mine is None or across > mine) and (theirs is None or across >= theirs):
+                return False
+            if mine is None and theirs is None:
+                return True
+            if theirs is None or (mine is not None and mine >= theirs):
+                i += 1
+            else:
+                j += 1
+        return True
+
+    def _extend_bpe(self, word: str, states: list) -> None:
+        """States of the prefixes from len(states) on: (last piece, what is known of pieces behind it)."""
+        tails, pairs = self.tails, self.pairs
+        for end in range(len(states), len(word) + 1):
+            for start in range(end - 1, -1, -1):
+                t = word[start:end]
+                piece = tails.get(t)
+                if piece or start == end - 1:
+                    last, known = states[start]
+                    ok = known.get(t)
+                    if ok is None:
+                        ok = known[t] = self.fits(last, t)
+                        self.n_pairs += 1
+                    if ok:
+                        states.append((t, pairs.setdefault(t, {})))
+                        break
+                elif piece is None:
+                    raise AssertionError("every prefix has an encoding")
+
+    def _extend_unigram(self, word: str, states: list) -> None:
+        """States of the prefixes from len(states) on: (last piece, best score)."""
+        scores = self.scores
+        for end in range(len(states), len(word) + 1):
+            best, last = None, None
+            for start in range(max(0, end - self.longest), end):
+                t = word[start:end]
+                score = scores.get(t)
+                if score is None and start == end - 1:
+                    score = self.unknown_score
+                if score is not None and (best is None or states[start][1] + score > best):
+                    best, last = states[start][1] + score, t
+            states.append((last, best))
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Each distinct word's ids, as bytes."""
+        if self.n_pairs > 4 * self.most:
+            self.pairs, self.n_pairs = {}, 0
         bpe = self.kind == BPE
-        step = self._step_bpe if bpe else self._step_unigram
-        states: list = ["" if bpe else (0.0, "")]
-        before, out = "", {}
+        extend = self._extend_bpe if bpe else self._extend_unigram
+        states: list = [("", self.pairs.setdefault("", {})) if bpe else ("", 0.0)]
+        before, out, known, kind = "", {}, self.ids, self.dtype.char
         for word in sorted(words):
             shared = len(os.path.commonprefix((before, word)))
             del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(step(word, end, states))
-            parts, end = [], len(word)
-            while end:
-                parts.append(states[end] if bpe else states[end][1])
-                end -= len(parts[-1])
+            extend(word, states)
             ids: list[int] = []
-            for t in reversed(parts):
-                i = self.ids.get(t)
+            end = len(word)
+            while end:
+                t = states[end][0]
+                i = known.get(t)
                 if i is not None:
                     ids.append(i)
                 elif self.bytes_at:
-                    ids += [self.bytes_at[b] for b in t.encode()]
+                    ids += [self.bytes_at[b] for b in reversed(t.encode())]
                 elif not (ids and ids[-1] == self.unknown):
                     ids.append(self.unknown)
-            out[word] = np.array(ids, self.dtype).tobytes()
+                end -= len(t)
+            ids.reverse()
+            out[word] = array.array(kind, ids).tobytes()
             before = word
         return out
 
@@ -171,7 +209,7 @@ def pieces(path: str) -> Pieces:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             ids = pa.array([x.tobytes() for x in model.encode(batch.column("text").to_pylist())], pa.binary())
             yield pa.record_batch([*batch.columns, ids], [*batch.schema.names, "ids"])
 
@@ -203,11 +241,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(_decode(path), with_fields(encoded, more, ("ids", "decoded")))
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_ids, ids_crc32, decoded): encode() and decode() one after the other in one Python worker."""
+    there, back = _encode(path), _decode(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return back(batch.select(["doc_id", "ids"]) for batch in there(batches))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded string")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text: number and CRC of its ids, digest of what they read back as."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decode(encode(docs, path).select("doc_id", "ids"), path)
+    found = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
