@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsdesk.shared import shared_dir
+
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder of spark.checkpoint.dir; sets one where there is none, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/newsdesk")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -34,11 +34,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items_of(documents(spark, sf_dir))
+
+
+def items_of(docs: DataFrame) -> DataFrame:
+    """Works on a stream of documents too."""
     d = F.col("doc_id")
     pub = F.timestamp_seconds(F.lit(START) + d * 300)
     iso = F.when(d % 13 == 5, "no date").when(d % 7 != 3, F.date_format(pub, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     image = lambda kind, end: F.concat(F.lit(f"https://img.example.com/{kind}"), d.cast("string"), F.lit(end))
-    return documents(spark, sf_dir).select(
+    return docs.select(
         F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("feed_rank"),
         d.alias("item_rank"),
         "source",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from newsdesk.operators import catalog, clusters, editions, editorial, publish,
 from newsdesk.params import FALLBACK_WHY, ClusterParams, RankParams, Site
 from newsdesk.plans import adapter, twins
 from newsdesk.plans.adapter import LEXICON
+from newsdesk.shared import shared_dir
 from newsdesk.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -761,3 +763,16 @@ _SLIDES = "generate_series((floor(epoch(published_at) / 14400) - 11)::BIGINT, fl
 def sliding_volume(spark, sf):
     rows = ingest.sliding_volume(adapter.firsts(spark, sf))
     return rows.select(stamp("window_start").alias("window_start"), "source", "n")
+
+
+@query("SELECT DISTINCT id FROM articles")
+def stream_dedupe(spark, sf):
+    """The documents as a stream that ends with what is there: each article's id once."""
+    schema = adapter.table(spark, sf, "documents").schema
+    docs = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*")  # a file or a folder
+    items = adapter.items_of(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source"))
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    found = ingest.stream_articles(items).select("id", "published_at")
+    query = found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/out").select("id")
