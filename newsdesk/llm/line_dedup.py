@@ -144,7 +144,8 @@ def _entries(tau: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "line", 1 << 19):
             keys, owner, index = entries(batch.column("line").to_pylist(), tau)
-            yield pa.record_batch([pa.array(keys), batch.column("node").take(pa.array(owner)), pa.array(index)], ["key", "node", "is_index"])
+            entry = 2 * batch.column("node").to_numpy()[owner] + index
+            yield pa.record_batch([pa.array(keys), pa.array(entry)], ["key", "entry"])
 
     return run
 
@@ -178,13 +179,19 @@ class Edits(Similarity):
         return np.flatnonzero(np.abs((one - other).astype(np.int64)).sum(axis=1) <= 2 * self.tau)
 
     def linked(self, one: list, other: list, apart: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The plausible pairs of many lines are verified together: within() works on them in step."""
         a, b = self.matrix([r.tobytes() for r in summaries(one)]), self.matrix([r.tobytes() for r in summaries(other)])
-        for i, line in enumerate(one):
+        left, right = [], []
+        for i in range(len(one)):
             some = np.flatnonzero(apart[i])
             some = some[self.plausible(a[i], b[some])]
-            found = some[within([line] * len(some), [other[j] for j in some], self.tau)] if len(some) else some
-            if len(found):
-                yield i, found
+            left += [i] * len(some)
+            right += some.tolist()
+            if len(left) > 1 << 14 or i + 1 == len(one):
+                ok = within([one[x] for x in left], [other[x] for x in right], self.tau)
+                at, found = np.array(left, np.int64)[ok], np.array(right, np.int64)[ok]
+                yield from ((int(x), found[at == x]) for x in np.unique(at))
+                left, right = [], []
 
 
 class LineLinks(BucketLinks):
@@ -195,12 +202,17 @@ class LineLinks(BucketLinks):
         super().__init__(scratch, sigs, Edits(tau))
 
     def members(self) -> DataFrame:
-        """(leader, node) of lines that share a bucket with an indexed one, the smallest of these; one shuffle serves both reads."""
-        met = self.lines.mapInArrow(_entries(self.tau), "key long, node long, is_index boolean").repartition("key")
-        leader = F.min(F.when(F.col("is_index"), F.col("node")))
-        ends = met.groupBy("key").agg(leader.alias("leader"), F.min("node").alias("x"), F.max("node").alias("y"))
+        """(leader, node) of lines that share a bucket with an indexed one, the smallest of these.
+
+        An entry is one number, twice the node plus 1 for an index entry, so that one shuffle serves both reads.
+        """
+        met = self.lines.mapInArrow(_entries(self.tau), "key long, entry long").repartition("key")
+        node = F.shiftright("entry", 1)
+        leader = F.min(F.when(F.col("entry") % 2 == 1, node))
+        ends = met.groupBy("key").agg(leader.alias("leader"), F.min(node).alias("x"), F.max(node).alias("y"))
         ends = ends.where("leader is not null and x < y").select("key", "leader")
-        return self.scratch.write(met.join(ends, "key").where("node != leader").select("leader", "node").distinct(), "members")
+        both = met.join(ends.hint("shuffle_hash"), "key").select("leader", node.alias("node"))
+        return self.scratch.write(both.where("node != leader").distinct(), "members")
 
     def payloads(self, nodes: DataFrame) -> DataFrame:
         return nodes.join(self.lines.select("node", F.col("line").alias("payload")), "node")
