@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import WS, skew_join, table
+from newsdesk.llm.common import WS, Scratch, skew_join, table
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id"), normalised(F.col("text")).alias("norm"))
     rows = rows.withColumn("digest", F.sha2("norm", 256))
-    found = winners(rows.select("doc_id", "norm", "digest"), salts)
+    found = Scratch(docs.sparkSession, "exact-dedup").write(winners(rows.select("doc_id", "norm", "digest"), salts), "winners")
     out = skew_join(rows.select("row", "digest"), found, ["digest"], "group_size", docs.count())
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in names],
