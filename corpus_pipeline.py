@@ -19,34 +19,40 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def _carried(docs: DataFrame, *read: str) -> DataFrame:
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *read)
+    """The columns that an operator reads, and the others as one struct."""
+    return docs.select(*read, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in read]).alias("row"))
+
+
+def _restored(found: DataFrame, docs: DataFrame, *read: str, **new: F.Column) -> DataFrame:
+    """The columns of `docs` again, in their order."""
+    return found.select(*[new.get(c, F.col(c if c in read else f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = 0.5) -> DataFrame:
     """Documents whose predicted language is known and has at least half of the probability."""
     model = language_id.train(docs)
     found = language_id.predict(_carried(docs, "text"), model)
-    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= least_score)).select("row.*")
+    return _restored(found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= least_score)), docs, "text")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest doc_id."""
-    return exact_dedup.exact_dedup(_carried(docs, "doc_id", "text")).where("kept").select("row.*")
+    return _restored(exact_dedup.exact_dedup(_carried(docs, "doc_id", "text")).where("kept"), docs, "doc_id", "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 of their 5-word shingles, the one with the smallest doc_id."""
-    return near_dedup.keep_one(_carried(docs, "doc_id", "text")).select("row.*")
+    return _restored(near_dedup.keep_one(_carried(docs, "doc_id", "text")), docs, "doc_id", "text")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of 50-word windows that a document with a smaller doc_id has; n_chars follows the text."""
     found = substring_dedup.remove_repeats(_carried(docs, "doc_id", "text"))
-    new = {"text": F.coalesce("kept", "row.text")}
+    new = {"text": F.coalesce("kept", "text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.char_length("kept").cast(kind))
-    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return _restored(found, docs, "doc_id", "text", **new)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
