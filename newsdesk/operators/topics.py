@@ -46,9 +46,9 @@ def topic_stories(stories: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame
 def build_topics(bridge: DataFrame, least: int = 2, index_at: int = 4) -> DataFrame:
     """(slug, label, n_stories, first_seen, indexable): topics of at least `least` stories.
 
-    The label is the longest phrase, the earliest of equals. first_seen orders topics of one size.
+    The label is the longest phrase, the earliest of equals (by slug within a rank). first_seen orders topics of one size.
     """
-    label = F.max_by("label", F.struct(F.char_length("label"), -F.col("story_rank"), -F.col("at")))
+    label = F.min_by("label", F.struct(-F.char_length("label"), "story_rank", "story_slug", "at"))
     rows = bridge.groupBy(F.col("topic_slug").alias("slug")).agg(
         label.alias("label"), F.count_distinct("story_slug").alias("n_stories"), F.min(F.struct("story_rank", "at")).alias("first_seen")
     )

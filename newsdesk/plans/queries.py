@@ -709,8 +709,8 @@ def url_inventory(spark, sf):
     rows = adapter.edition_rows(spark, sf)
     stories = catalog.catalog(rows)
     days = rows.select("date").distinct()
-    none = topics.build_topics(topics.topic_stories(stories.limit(0).select("slug", "titulo", "updated_at", F.lit(0).cast("long").alias("story_rank")), LEXICON))
-    return publish.url_inventory(catalog.categories(rows), stories, none, days, days.withColumn("linha_fina", F.lit("Linha fina")), SITE)
+    hubs = topics.build_topics(_bridge(spark, sf))
+    return publish.url_inventory(catalog.categories(rows), stories, hubs, days, days.withColumn("linha_fina", F.lit("Linha fina")), SITE)
 
 
 _BODY = f"coalesce({_WHY}, nullif({twins.trim('resumo')}, ''))"

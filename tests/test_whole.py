@@ -1,0 +1,31 @@
+"""Queries that a twin does not cover whole."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from newsdesk.plans import queries, twins
+
+SF = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+
+
+def in_sql(sql, columns):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    return sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall(), key=str)
+
+
+@tables
+def test_url_inventory_lists_topics(spark):
+    """The twin, which has no topic pages, and the pages of the topics."""
+    own = entry.oracle_sql()["url_inventory"].removeprefix(twins.CHAIN)
+    hubs = f"""SELECT 'topic' AS kind, '{queries.SITE.url}/tema/' || slug || '/' AS loc, substr('Tudo sobre ' || label, 1, 160) AS description, n_stories < 4 AS noindex FROM topics"""
+    columns = ["kind", "loc", "description", "noindex"]
+    got = entry.queries()["url_inventory"](spark, SF).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == in_sql(f"{twins.CHAIN}{queries._TOPICS}{own} UNION ALL {hubs}", columns)
+    assert {r.noindex for r in got if r.kind == "topic"} == {True, False}
