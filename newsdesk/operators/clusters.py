@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsdesk.functions import text
-from newsdesk.operators.graph import connected_components
+from newsdesk.operators.graph import checkpoint, connected_components
 from newsdesk.operators.vectors import guard_entities, similar_pairs, term_freq
 from newsdesk.params import ClusterParams, Lexicon
 
@@ -83,14 +83,39 @@ def vectors_of(windowed: DataFrame, lexicon: Lexicon, p: ClusterParams) -> DataF
 def cluster_greedy(windowed: DataFrame, lexicon: Lexicon, p: ClusterParams = ClusterParams()) -> DataFrame:
     """(edition_ts, id, cluster_seq, member_rank): the order-dependent clustering, exact, editions in parallel.
 
-    One edition is one group, so a group of more than `max_group_rows` articles is not collected: such editions
-    are left to cluster_components, whose definition differs.
+    One edition is one group of at most `max_group_rows` articles. A larger edition is clustered by connected parts of
+    the graph of articles that share a term, which never affect each other; a part that is still larger is an error.
     """
-    rows = windowed.select("edition_ts", "id", "published_at", F.struct("feed_rank", "item_rank").alias("ingest"))
-    fits = rows.groupBy("edition_ts").agg(F.count("*").alias("n")).where(F.col("n") <= p.max_group_rows).select("edition_ts")
-    rows = rows.join(fits, "edition_ts").join(vectors_of(windowed, lexicon, p), "id")
-    rows = rows.select("edition_ts", "id", "published_at", (F.col("ingest.feed_rank") * (1 << 40) + F.col("ingest.item_rank")).alias("ingest"), "terms", "weights", "entities")
-    return rows.groupBy("edition_ts").applyInPandas(_greedy(p), "edition_ts timestamp, id string, cluster_seq long, member_rank long")
+    rows = windowed.select("edition_ts", "id", "published_at", (F.col("feed_rank") * (1 << 40) + F.col("item_rank")).alias("ingest"))
+    large = [r[0] for r in rows.groupBy(F.col("edition_ts").cast("long").alias("at")).count().where(F.col("count") > p.max_group_rows).select("at").collect()]  # a row an edition
+    vectors = vectors_of(windowed, lexicon, p)
+    kinds = "edition_ts timestamp, id string, cluster_seq long, member_rank long"
+    is_large = F.col("edition_ts").cast("long").isin(large) if large else F.lit(False)
+    found = rows.where(~is_large).join(vectors, "id").groupBy("edition_ts").applyInPandas(_greedy(p), kinds)
+    return found.unionByName(_greedy_by_part(rows.where(is_large).join(vectors, "id"), p)) if large else found
+
+
+def _greedy_by_part(rows: DataFrame, p: ClusterParams) -> DataFrame:
+    """What cluster_greedy gives for whole editions, from groups of articles that are connected by shared terms."""
+    rows = checkpoint(rows)
+    terms = rows.select("edition_ts", "id", F.explode("terms").alias("term"))
+    least = terms.groupBy("edition_ts", "term").agg(F.min("id").alias("a"))
+    edges = terms.join(least, ["edition_ts", "term"]).select("edition_ts", "a", F.col("id").alias("b")).distinct()
+    rows = checkpoint(rows.join(connected_components(edges, "edition_ts"), ["edition_ts", "id"]))
+    most = rows.groupBy("edition_ts", "component").count().agg(F.max("count")).first()[0] or 0
+    if most > p.max_group_rows:
+        raise ValueError(f"{most} articles of an edition are connected by shared terms; max_group_rows is {p.max_group_rows}")
+    greedy = _greedy(p)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return greedy(pdf).join(pdf[["component", "published_at", "ingest"]])
+
+    kinds = "edition_ts timestamp, id string, cluster_seq long, member_rank long, component string, published_at timestamp, ingest long"
+    found = checkpoint(rows.groupBy("edition_ts", "component").applyInPandas(run, kinds))
+    # clusters are numbered in the order of their first members, over the whole edition
+    order = Window.partitionBy("edition_ts").orderBy(F.col("published_at").desc(), "ingest", "id")
+    seeds = found.where("member_rank = 0").select("edition_ts", "component", "cluster_seq", (F.row_number().over(order) - 1).cast("long").alias("seq"))
+    return found.join(seeds, ["edition_ts", "component", "cluster_seq"]).select("edition_ts", "id", F.col("seq").alias("cluster_seq"), "member_rank")
 
 
 def cluster_components(windowed: DataFrame, lexicon: Lexicon, p: ClusterParams = ClusterParams()) -> DataFrame:
