@@ -223,10 +223,13 @@ class LineLinks(BucketLinks):
 
 
 def duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 24) -> DataFrame:
-    """(d, gone): for each doc_id (a null as LAST) the lines to drop, as (position, xxhash64 of the line)."""
+    """(d, text_hash, gone): for each doc_id (a null as LAST) and text the lines to drop, as (position, xxhash64 of the line).
+
+    The hash of the text keeps rows with one doc_id (or none) from becoming one group.
+    """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text")
-    lines = texts.select("d", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("text_hash"), "text")
+    lines = texts.select("d", "text_hash", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     keys = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
     place = F.struct("d", "at")
     alike = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times")).select("*", *keys)
@@ -236,10 +239,10 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 24) -> DataFrame
     named = alike.select("node", "h1", "h2", "first", "times").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("times").alias("all"))
     lookup = named.join(firsts, "component").where(F.col("all") > 1).select("h1", "h2", "stays", "times")
-    each = lines.select("d", "at", *keys)
+    each = lines.select("d", "text_hash", "at", *keys)
     rows = skew_join(each, lookup, ["h1", "h2"], "times", int(alike.agg(F.sum("times")).first()[0] or 0))
     gone = rows.where(F.col("found").isNotNull() & (place != F.col("found.stays")))
-    return scratch.write(gone.groupBy("d").agg(F.collect_set(F.struct("at", "h1")).alias("gone")), "gone")
+    return scratch.write(gone.groupBy("d", "text_hash").agg(F.collect_set(F.struct("at", "h1")).alias("gone")), "gone")
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +266,9 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_lines(docs: DataFrame, tau: int = 2, least: int = 24) -> DataFrame:
     """`docs` with n_lines, n_removed, kept and kept_sha256; `kept` is null where nothing was removed."""
-    rows = docs.drop("n_lines", "n_removed", "kept", "kept_sha256", "gone", "d")
+    rows = docs.drop("n_lines", "n_removed", "kept", "kept_sha256", "gone", "d", "text_hash")
     found = duplicate_lines(rows, tau, least)
-    joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(found, "d", "left").drop("d")
+    joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_hash", F.xxhash64("text")).join(found, ["d", "text_hash"], "left").drop("d", "text_hash")
     return joined.mapInArrow(_drop, with_fields(rows, "n_lines long, n_removed long, kept string, kept_sha256 string"))
 
 

@@ -152,7 +152,9 @@ class NearDuplicates(BucketLinks):
         scratch = Scratch(docs.sparkSession, "near-dedup")
         signed = self.docs.mapInArrow(_sign(size), "doc_id long, h long, n_shingles long, k1 long, k2 long, sig binary")
         self.rows = scratch.write(signed, "rows")
-        alike = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.count("*").alias("n"))
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")  # nulls last
+        alike = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(first, F.any_value("sig").alias("sig"), F.count("*").alias("n"))
+        alike = alike.select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h"), "sig", "n")
         self.classes = scratch.write(alike.withColumn("node", F.monotonically_increasing_id()), "classes")
         super().__init__(scratch, self.classes.select("node", "sig"), Jaccard(percent))
 
@@ -164,9 +166,12 @@ class NearDuplicates(BucketLinks):
 
     def payloads(self, nodes: DataFrame) -> DataFrame:
         """The shingle sets of (node), from the texts of one document of each class."""
-        wanted = nodes.join(self.classes.select("node", "rep", "k1", "k2"), "node")
-        texts = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node", "k1", "k2")
-        return self.scratch.write(texts.mapInArrow(_sets(self.size), "node long, payload array<long>").dropDuplicates(["node"]), "sets")
+        return self.scratch.write(self.texts_of(nodes).mapInArrow(_sets(self.size), "node long, payload array<long>").dropDuplicates(["node"]), "sets")
+
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """(text, node, k1, k2): a document is looked up by doc_id and text, as many may share a doc_id or have none."""
+        wanted = nodes.join(self.classes.select("node", "rep", "rep_h", "k1", "k2"), "node")
+        return self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["rep"]) & (self.docs["h"] == wanted["rep_h"])).select("text", "node", "k1", "k2")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

@@ -93,9 +93,9 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = sequence_hash(hashes, counts)
         owner, _, _, place, h = anchors(hashes, counts)
         local = place - (np.cumsum(counts) - counts)[owner]
-        columns = [batch.column("d"), pa.array(counts.astype(np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+        columns = [batch.column("d"), batch.column("text_hash"), pa.array(counts.astype(np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
         columns += [_lists(h.view(np.int64), owner, len(counts)), _lists(local, owner, len(counts))]
-        yield pa.record_batch(columns, ["d", "n_words", "k1", "k2", "hashes", "places"])
+        yield pa.record_batch(columns, ["d", "text_hash", "n_words", "k1", "k2", "hashes", "places"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +115,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.cumsum(sizes) - sizes  # of each word in `words`
         texts = [words[a:b] for a, b in zip(at[first].tolist(), (at + sizes - 1)[first + n + WINDOW - 2].tolist(), strict=True)]
         values = _roll_spans(hashes, first, n + WINDOW - 1)
-        columns = [pa.array(h.view(np.int64)), pa.array(values), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("d").take(pa.array(owner))]
+        columns = [pa.array(h.view(np.int64)), pa.array(values), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("d").take(pa.array(owner)), batch.column("text_hash").take(pa.array(owner))]
         columns += [pa.array(keys[owner, 0]), pa.array(first - bases[owner]), pa.array(n)]
-        yield pa.record_batch(columns, ["h", "g", "segment", "d", "k1", "start", "n"])
+        yield pa.record_batch(columns, ["h", "g", "segment", "d", "text_hash", "k1", "start", "n"])
 
 
 def _roll_spans(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -199,20 +199,23 @@ def _single_nodes(classes: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(d, marks): for each document with something to remove, an array of (k1, copy, froms, tos), one per word sequence it has."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text")
-    kinds = "d long, n_words long, k1 long, k2 long, hashes array<long>, places array<long>"
+    """(d, text_hash, marks): for each document with something to remove, an array of (k1, copy, spans), one per word sequence it has.
+
+    The hash of the text tells rows with one doc_id (or none) apart, so no group or join grows with their number.
+    """
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("text_hash"), "text")
+    kinds = "d long, text_hash long, n_words long, k1 long, k2 long, hashes array<long>, places array<long>"
     rows = scratch.write(texts.mapInArrow(_first, kinds), "rows")
     owners = rows.groupBy("k1", "k2").agg(F.min("d").alias("owner"), F.count("*").alias("n"))
     owned = skew_join(rows, owners, ["k1", "k2"], "n", rows.count()).withColumn("copy", F.col("d") > F.col("found.owner"))
-    owned = scratch.write(owned.select("d", "n_words", "k1", "copy", F.when(~F.col("copy"), F.arrays_zip("hashes", "places")).alias("anchors")), "owned")
+    owned = scratch.write(owned.select("d", "text_hash", "n_words", "k1", "copy", F.when(~F.col("copy"), F.arrays_zip("hashes", "places")).alias("anchors")), "owned")
     scratch.drop(rows)
 
-    found = owned.where("not copy").select("d", "k1", F.inline("anchors").alias("h", "place"))
+    found = owned.where("not copy").select("d", "text_hash", "k1", F.inline("anchors").alias("h", "place"))
     repeated = found.groupBy("h").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y").select("h")
-    places = scratch.write(found.join(repeated, "h").groupBy("d", "k1").agg(F.collect_set("place").alias("places")), "places")
-    kinds = "h long, g long, segment string, d long, k1 long, start long, n long"
-    met = scratch.write(texts.join(places, "d").select("text", "d", "k1", "places").mapInArrow(_segments, kinds), "segments")
+    places = scratch.write(found.join(repeated, "h").groupBy("d", "text_hash", "k1").agg(F.collect_set("place").alias("places")), "places")
+    kinds = "h long, g long, segment string, d long, text_hash long, k1 long, start long, n long"
+    met = scratch.write(texts.join(places, ["d", "text_hash"]).select("text", "d", "text_hash", "k1", "places").mapInArrow(_segments, kinds), "segments")
 
     alike = met.groupBy("h", "g", "segment").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("times"))
     alike = scratch.write(alike, "classes")
@@ -223,15 +226,15 @@ def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     runs = light.repartition("h").sortWithinPartitions("h").mapInArrow(_tree, kinds)
     runs = runs.unionByName(_single_nodes(sized.where(F.col("size") > GROUP)))
     lookup = scratch.write(alike.select("h", "g", "low", "times").join(runs.where(F.size("froms") > 0), ["h", "g"], "left"), "runs")
-    spans = skew_join(met.select("h", "g", "d", "k1", "start", "n"), lookup, ["h", "g"], "times", met.count())
+    spans = skew_join(met.select("h", "g", "d", "text_hash", "k1", "start", "n"), lookup, ["h", "g"], "times", met.count())
     whole = F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("n") - 1).alias("to")))
     some = F.transform(F.arrays_zip("found.froms", "found.tos"), lambda x: F.struct((x["froms"] + F.col("start")).alias("from"), (x["tos"] + F.col("start")).alias("to")))
-    spans = spans.select("d", "k1", F.inline(F.when(F.col("d") > F.col("found.low"), whole).otherwise(some)).alias("from", "to"))
-    parts = spans.groupBy("d", "k1").agg(F.collect_set(F.struct("from", "to")).alias("spans")).withColumn("copy", F.lit(False))
-    copies = owned.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("d", "k1").distinct()
+    spans = spans.select("d", "text_hash", "k1", F.inline(F.when(F.col("d") > F.col("found.low"), whole).otherwise(some)).alias("from", "to"))
+    parts = spans.groupBy("d", "text_hash", "k1").agg(F.collect_set(F.struct("from", "to")).alias("spans")).withColumn("copy", F.lit(False))
+    copies = owned.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("d", "text_hash", "k1").distinct()
     empty = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    both = parts.select("d", "k1", "copy", "spans").unionByName(copies.select("d", "k1", F.lit(True).alias("copy"), empty.alias("spans")))
-    return scratch.write(both.groupBy("d").agg(F.collect_list(F.struct("k1", "copy", "spans")).alias("marks")), "marks")
+    both = parts.select("d", "text_hash", "k1", "copy", "spans").unionByName(copies.select("d", "text_hash", "k1", F.lit(True).alias("copy"), empty.alias("spans")))
+    return scratch.write(both.groupBy("d", "text_hash").agg(F.collect_list(F.struct("k1", "copy", "spans")).alias("marks")), "marks")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +270,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with n_words, n_removed, kept and kept_sha256; `kept` is null where nothing was removed."""
-    rows = docs.drop("n_words", "n_removed", "kept", "kept_sha256", "marks", "d")
+    rows = docs.drop("n_words", "n_removed", "kept", "kept_sha256", "marks", "d", "text_hash")
     found = marks(rows, Scratch(docs.sparkSession, "substring-dedup"))
-    joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(found, "d", "left").drop("d")
+    joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_hash", F.xxhash64("text")).join(found, ["d", "text_hash"], "left").drop("d", "text_hash")
     return joined.mapInArrow(_remove, with_fields(rows, "n_words long, n_removed long, kept string, kept_sha256 string"))
 
 
