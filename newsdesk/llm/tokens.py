@@ -8,10 +8,13 @@ in a bounded cache. Texts that hold one of the tokenizer's special strings are e
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import numpy as np
 
+_COMPOSING = re.compile(rb"[A-Z][\x80-\xff]")
+
 
 def _byte_alphabet() -> dict[int, str]:
     """The printable stand-ins that byte-level BPE uses: printable Latin-1 as it is, the rest from U+0100 on."""
@@ -21,7 +24,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class Chunks(dict):
-    """chunk (bytes, ASCII letters in lower case) -> its ids as bytes. At most twice `most` entries are kept."""
+    """chunk (bytes; in lower case if ASCII) -> its ids as bytes. At most twice `most` entries are kept."""
 
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
@@ -62,7 +65,10 @@ class Chunks(dict):
         low = raw.lower()
         if any(s in low for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        return np.frombuffer(b"".join(map(self.__getitem__, low.split())), self.dtype)
+        chunks = low.split()
+        if _COMPOSING.search(raw):  # NFC comes before lower case, and some letters compose in one case only
+            chunks = [c.lower() if c.isascii() else c for c in raw.split()]
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), self.dtype)
 
 
 @functools.lru_cache(maxsize=2)
