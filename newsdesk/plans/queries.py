@@ -12,7 +12,7 @@ from newsdesk.functions import dates, text
 from newsdesk.functions.urls import article_id, normalize_url
 from newsdesk.operators import articles as art
 from newsdesk.operators import catalog, clusters, editions, editorial, publish, ranking, summaries, topics, vectors
-from newsdesk.params import FALLBACK_WHY, ClusterParams, RankParams, Site
+from newsdesk.params import FALLBACK_WHY, RankParams, Site
 from newsdesk.plans import adapter, twins
 from newsdesk.plans.adapter import LEXICON
 from newsdesk.shared import shared_dir
@@ -210,8 +210,7 @@ def cluster_greedy(spark, sf):
 
 @query()
 def cluster_components(spark, sf):
-    p = ClusterParams(threshold=0.6, high_cosine=0.7)
-    return clusters.cluster_components(_windowed(spark, sf), LEXICON, p).select(stamp("edition_ts").alias("edition_ts"), "id", "component")
+    return clusters.cluster_components(_windowed(spark, sf), LEXICON).select(stamp("edition_ts").alias("edition_ts"), "id", "component")
 
 
 _KEYS = ("date", "bucket")

@@ -1,15 +1,21 @@
 """Clustering of whole editions against plain definitions."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from newsdesk.functions import text
 from newsdesk.operators import clusters
+from newsdesk.operators.vectors import term_freq
 from newsdesk.params import ClusterParams, Lexicon
+from newsdesk.plans import queries
 
 LEX = Lexicon()
+SF = "/root/testdata/sf0.001"
 NOW = dt.datetime(2026, 5, 20, 12)
 SCHEMA = "id string, title string, description string, published_at timestamp, feed_rank int, item_rank long"
 
@@ -37,3 +43,43 @@ def test_large_editions_are_clustered_whole(spark):
 def test_large_parts_are_an_error(spark):
     with pytest.raises(ValueError, match="10 articles"):
         clusters.cluster_greedy(windowed(spark), LEX, ClusterParams(max_group_rows=9))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_registered_components_match_union_find(spark):
+    p = ClusterParams()
+    rows = queries._windowed(spark, SF).select("edition_ts", "id", "title", "description").cache()
+    articles = rows.select("id", "title", "description").dropDuplicates(["id"])
+    vectors = {}
+    for r in term_freq(articles, queries.LEXICON.stopwords, p.title_weight).collect():
+        vectors.setdefault(r.id, {})[r.term] = r.weight
+    names = {r.id: set(r.names) for r in articles.select("id", text.named_entities(F.col("title")).alias("names")).collect()}
+    norm = {i: sum(w * w for w in v.values()) ** 0.5 for i, v in vectors.items()}
+    linked = set()
+    for a in vectors:
+        for b in vectors:
+            if a < b:
+                cosine = sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items()) / (norm[a] * norm[b])
+                apart = names[a] and names[b] and not names[a] & names[b]
+                if cosine >= p.threshold - 1e-12 and (cosine >= p.high_cosine or not apart):
+                    linked.add((a, b))
+    editions, want = {}, set()
+    for r in rows.collect():
+        if r.id in vectors:
+            editions.setdefault(r.edition_ts, set()).add(r.id)
+    for at, ids in editions.items():
+        root = {i: i for i in ids}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in linked:
+            if a in ids and b in ids:
+                one, other = sorted((find(a), find(b)))
+                root[other] = one
+        want |= {(at.strftime("%Y-%m-%d %H:%M:%S"), i, find(i)) for i in ids}
+    got = entry.queries()["cluster_components"](spark, SF).collect()
+    print(len(got), "rows,", len({(r[0], r[2]) for r in got}), "components,", len(linked), "links")
+    assert len(got) == len(want) and set(map(tuple, got)) == want
