@@ -252,7 +252,7 @@ def scored_pool(spark, sf):
     stats = clusters.cluster_stats(adapter.members(spark, sf), _KEYS)
     now = F.date_add("date", 1).cast("timestamp")
     rows = stats.withColumn("score", F.round(ranking.score(now), 9))
-    out = ranking.ranked(rows, "date", ["bucket"], RankParams().home // 2)
+    out = ranking.ranked(rows, "date", ["bucket"], RankParams().pool)
     return out.select(F.col("date").cast("string").alias("date"), "bucket", F.round("score", 6).alias("score"), "rank")
 
 

@@ -29,3 +29,14 @@ def test_url_inventory_lists_topics(spark):
     got = entry.queries()["url_inventory"](spark, SF).select(*columns).collect()
     assert sorted(map(tuple, got), key=str) == in_sql(f"{twins.CHAIN}{queries._TOPICS}{own} UNION ALL {hubs}", columns)
     assert {r.noindex for r in got if r.kind == "topic"} == {True, False}
+
+
+@tables
+def test_scored_pool_is_the_whole_pool(spark):
+    """The twin's scores, ranked up to the pool size."""
+    ranked = "SELECT date::VARCHAR AS date, bucket, round(score, 6) AS score, row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, bucket) AS rank FROM scored"
+    columns = ["date", "bucket", "rank"]
+    got = entry.queries()["scored_pool"](spark, SF).select(*columns).collect()
+    print(len(got), "rows,", sum(r["rank"] > 5 for r in got), "past rank 5")
+    assert sorted(map(tuple, got), key=str) == in_sql(f"{twins.CHAIN}{queries._SCORED} SELECT * FROM ({ranked}) WHERE rank <= {queries.RankParams().pool}", columns)
+    assert max(r["rank"] for r in got) > 5
