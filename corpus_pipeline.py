@@ -1,7 +1,7 @@
 """A training corpus in five stages, each of which calls an operator of newsdesk.llm.
 
-Language identification drops documents in no language it knows, exact and near deduplication keep one document of
-each group of copies, substring deduplication cuts passages that an earlier document has, and packing fills
+Language identification drops documents without a letter and those undecided between the languages it knows (lettered
+text in another language is taken for one of these), exact and near deduplication keep one document of each group of copies, substring deduplication cuts passages that an earlier document has, and packing fills
 sequences of 2048 tokens. Each stage's result is written and read again by the next.
 
 Documents travel as a struct beside the columns that an operator reads, so columns of any name pass unharmed.
@@ -29,7 +29,11 @@ def _restored(found: DataFrame, docs: DataFrame, *read: str, **new: F.Column) ->
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = 0.5) -> DataFrame:
-    """Documents whose predicted language is known and has at least half of the probability."""
+    """Documents with a predicted language that has at least half of the probability among the known ones.
+
+    The others have no letter or are undecided. This doesn't tell unknown languages or lettered junk: the probability
+    is relative to the known languages.
+    """
     model = language_id.train(docs)
     found = language_id.predict(_carried(docs, "text"), model)
     return _restored(found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= least_score)), docs, "text")
