@@ -4,7 +4,7 @@ A text is lower-cased and every run of characters that are no letters counts as
 characters) are hashed into `BUCKETS` buckets. Training counts n-grams per language in the tasks and adds them up
 in Spark; the matrix of log-probabilities (buckets x languages, so its size does not depend on the data) is
 broadcast. Scoring treats a batch of whole texts as one array of buckets: numpy gathers each language's
-log-probabilities and sums them by document.
+log-probabilities and sums them by document. Texts are taken about 1 MB at a time, and a longer one in blocks.
 
 The model is fitted on a bounded sample of labelled rows: about `per_language` documents of each language, chosen
 by a hash of doc_id. Prediction reads every text whole and nothing but the text.
@@ -28,6 +28,8 @@ from newsdesk.llm.common import slices, table, with_fields
 
 BUCKETS = 1 << 16
 UND = "und"
+SLICE, BLOCK = 1 << 20, 1 << 18  # bytes of text, and code points, that are worked on at a time
+_A, _B, _HIGH = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(16)
 
 
 @functools.cache
@@ -35,45 +37,64 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x10000)])
 
 
-def ngrams(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each n (buckets, number of n-grams of each text), and whether each text has a letter."""
-    low = [(t or "").lower() for t in texts.to_pylist()]
-    lengths = np.array([len(t) for t in low], np.int64)
-    codes = np.frombuffer(" ".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)  # each text ends with a space
-    letter = _letters()[np.minimum(codes, 0xFFFF)]
-    if len(codes) and codes.max() > 0xFFFF:
-        high = np.flatnonzero(codes > 0xFFFF)
-        letter[high] = [chr(c).isalpha() for c in codes[high].tolist()]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # one space behind each run of letters
-    ends = np.cumsum(lengths + 1)
-    seen = np.concatenate([[0], np.cumsum(keep)])
-    doc_ends = seen[ends] if len(ends) else np.empty(0, np.int64)
-    sizes = np.diff(doc_ends, prepend=0)
-    c = np.where(letter, codes, 32)[keep].astype(np.uint64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    if len(c) < 3:
-        c, doc = np.append(c, np.zeros(3, np.uint64)), np.append(doc, [-1, -2, -3])
-    a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    two = (c[:-1] * a + c[1:] * b) >> np.uint64(48)
-    three = ((c[:-2] * a + c[1:-1]) * b + c[2:]) * a >> np.uint64(48)
-    found = []
-    for n, hashed in ((2, two), (3, three)):
-        inside = doc[: 1 - n] == doc[n - 1 :]
-        found.append((hashed[inside].astype(np.int32), np.maximum(sizes - n + 1, 0)))
-    return found, sizes > 0
+def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, number of each): letters in lower case, one space behind each run of them."""
+    kept, sizes = [np.empty(0, np.uint32)], []
+    letters = _letters()
+    for text in texts.to_pylist():
+        low, n, before = (text or "").lower(), 0, False
+        for at in range(0, len(low), BLOCK):
+            codes = np.frombuffer(low[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)
+            letter = letters[np.minimum(codes, 0xFFFF)]
+            if codes.max() > 0xFFFF:
+                high = np.flatnonzero(codes > 0xFFFF)
+                letter[high] = [chr(c).isalpha() for c in codes[high].tolist()]
+            keep = letter.copy()
+            keep[1:] |= letter[:-1]
+            keep[0] |= before
+            before = bool(letter[-1])
+            kept.append(np.where(letter, codes, np.uint32(32))[keep])
+            n += len(kept[-1])
+        if before:
+            kept.append(np.array([32], np.uint32))
+            n += 1
+        sizes.append(n)
+    return np.concatenate(kept), np.array(sizes, np.int64)
+
+
+def ngrams(codes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket of each n-gram, texts that have some, where each one's begin) for each n and block of code points."""
+    ends = np.cumsum(sizes)
+    owner_of = lambda at: np.searchsorted(ends, at, "right")
+    for at in range(0, len(codes), BLOCK):
+        to = min(at + BLOCK, len(codes))
+        c = codes[at : to + 2]
+        two = (c[:-1] * _A + c[1:] * _B) >> _HIGH
+        three = ((c[:-2] * _A + c[1:-1]) * _B + c[2:]) * _A >> _HIGH
+        some = np.arange(owner_of(at), owner_of(to - 1) + 1)
+        begin = np.maximum((ends - sizes)[some], at)
+        for n, hashed in ((2, two), (3, three)):
+            number = np.maximum(np.minimum(ends[some] - n + 1, to) - begin, 0)
+            inside = np.ones(len(hashed), bool)
+            for k in range(1, n):  # n-grams that leave their text
+                left = ends[some] - k - at
+                inside[left[(left >= 0) & (left < len(hashed))]] = False
+            inside[to - at :] = False
+            full = number > 0
+            if full.any():
+                yield hashed[inside].astype(np.uint16), some[full], (np.cumsum(number) - number)[full]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         langs = batch.column("lang").to_pylist()
-        index = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-        of = np.array([index[x] for x in langs], np.int64)
-        for buckets, n in ngrams(batch.column("text"))[0]:
-            owner = np.repeat(of, n)
-            for lang, i in index.items():
-                sums[lang] = sums.get(lang, 0) + np.bincount(buckets[owner == i], minlength=BUCKETS)
+        for buckets, owner, starts in ngrams(*normalised(batch.column("text"))):
+            for i, at, to in zip(owner.tolist(), starts.tolist(), np.append(starts[1:], len(buckets)).tolist(), strict=True):
+                if langs[i] not in sums:
+                    sums[langs[i]] = np.zeros(BUCKETS, np.int64)
+                found, times = np.unique(buckets[at:to], return_counts=True)
+                sums[langs[i]][found] += times
     for lang, counts in sums.items():
         at = np.flatnonzero(counts)
         yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
@@ -86,19 +107,17 @@ class Model:
         self.prior = np.log((docs + 1) / (docs.sum() + len(langs)))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        found, lettered = ngrams(texts)
+        codes, sizes = normalised(texts)
         if not self.langs:
-            return [UND] * len(lettered), np.zeros(len(lettered))
-        sums = np.zeros((len(lettered), len(self.langs)))
-        for buckets, n in found:
-            full = np.flatnonzero(n)
-            if len(full):
-                starts = np.concatenate([[0], np.cumsum(n)])[full]
-                for i, row in enumerate(self.weights):
-                    sums[full, i] += np.add.reduceat(row[buckets], starts, dtype=np.float64)
+            return [UND] * len(sizes), np.zeros(len(sizes))
+        sums = np.zeros((len(sizes), len(self.langs)))
+        for buckets, owner, starts in ngrams(codes, sizes):
+            for i, row in enumerate(self.weights):
+                sums[owner, i] += np.add.reduceat(row[buckets], starts, dtype=np.float64)
         sums += self.prior
         best = sums.argmax(axis=1)
         score = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        lettered = sizes > 0
         return [self.langs[i] if ok else UND for i, ok in zip(best.tolist(), lettered, strict=True)], np.where(lettered, score, 0.0)
 
 
@@ -106,11 +125,15 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 4000) -> Model:
-    """Fits on `docs` (doc_id, text, lang) outside the held-out quarter."""
+def train(docs: DataFrame, per_language: int = 4000, most_languages: int = 256) -> Model:
+    """Fits on `docs` (doc_id, text, lang) outside the held-out quarter. More than `most_languages` are an error: the
+    broadcast matrix has 256 KB a language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in sizes.limit(most_languages + 1).collect()}  # one row per language
     langs = sorted(sizes)
+    if len(langs) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_language / sizes[lang]))])
@@ -125,7 +148,7 @@ def train(docs: DataFrame, per_language: int = 4000) -> Model:
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             langs, score = shared.value.predict(batch.column("text"))
             yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 

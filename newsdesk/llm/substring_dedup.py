@@ -32,21 +32,13 @@ from pyspark.sql import functions as F
 
 from newsdesk.llm.chat_format import ranges
 from newsdesk.llm.common import Scratch, group_starts, groups, skew_join, slices, table, with_fields
-from newsdesk.llm.words import mix, word_hashes
+from newsdesk.llm.words import mix, rolled, word_hashes
 
 U = np.uint64
 WINDOW, PREFIX, GROUP = 50, 8, 8192
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
-def _roll(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each word on (of no use in the last n - 1 places)."""
-    out = np.zeros(len(hashes), U)
-    for k in range(n):
-        out[: len(hashes) - k] = out[: len(hashes) - k] * U(0xC2B2AE3D27D4EB4F) + hashes[k:]
-    return mix(out)
-
-
 def sequence_hash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """(texts, 2) signed 64-bit hashes of each text's word sequence."""
     starts = np.cumsum(counts) - counts
@@ -66,7 +58,7 @@ def anchors(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     windows = np.maximum(counts - WINDOW + 1, 0)
     if not windows.any():
         return (np.empty(0, np.int64),) * 4 + (np.empty(0, U),)
-    grams = _roll(hashes, PREFIX)
+    grams = rolled(hashes, PREFIX)
     bits = max(20, int(len(grams)).bit_length())
     low = U((1 << bits) - 1)
     tagged = (grams & ~low) | np.arange(len(grams), dtype=U)
@@ -184,7 +176,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases = np.cumsum(counts) - counts
         starts = ranges(bases, n)
         owner = np.repeat(np.arange(len(counts)), n)
-        both = [_roll(hashes, WINDOW)[starts], _roll(mix(hashes + U(0x9E3779B97F4A7C15)), WINDOW)[starts]]
+        both = [rolled(hashes, WINDOW)[starts], rolled(mix(hashes + U(0x9E3779B97F4A7C15)), WINDOW)[starts]]
         columns = [batch.column(k).take(pa.array(owner)) for k in ("h", "g", "low")]
         yield pa.record_batch([*columns, pa.array(starts - bases[owner]), *(pa.array(x.view(np.int64)) for x in both)], ["h", "g", "low", "offset", "w1", "w2"])
 
