@@ -19,10 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(*path: str) -> F.Column:
+    """A column by its name, whatever characters that has, or a field of one."""
+    return F.col(".".join("`" + name.replace("`", "``") + "`" for name in path))
+
+
+def without(rows: DataFrame, *names: str) -> DataFrame:
+    """`rows` less some columns; DataFrame.drop() fails beside a column with a dot in its name."""
+    return rows.select(*[quoted(c) for c in rows.columns if c.lower() not in names])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode, else an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "/tmp/checkpoints/newsdesk"
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(at)
@@ -59,6 +71,14 @@ def with_fields(rows: DataFrame, more: str, without: tuple[str, ...] = ()) -> T.
     return T.StructType([f for f in rows.schema.fields if f.name not in without] + T.StructType.fromDDL(more).fields)
 
 
+def map_in_arrow(rows: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """DataFrame.mapInArrow(), which fails on a column with a dot in its name: such columns travel under another one."""
+    travels = {c: f"_column_{i}" for i, c in enumerate(rows.columns) if "." in c or "`" in c}
+    kinds = T.StructType([T.StructField(travels.get(f.name, f.name), f.dataType) for f in schema.fields])
+    found = rows.toDF(*[travels.get(c, c) for c in rows.columns]).mapInArrow(run, kinds)
+    return found.toDF(*schema.names)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

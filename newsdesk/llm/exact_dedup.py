@@ -6,7 +6,8 @@ combined in three steps, each of which groups by the digest *and* the full norma
 a step sends one row per task or per salt. Built-in functions only.
 
 Defined cases: a null text counts as empty; a null doc_id never wins against another id and a group of null ids
-keeps null (`kept` then holds for each of its rows); rows that share the winning doc_id and text all stay.
+keeps null (`kept` then holds for each of its rows); rows that share the winning doc_id and text all stay; other
+columns stay, except those with the name of a new one, which are replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import WS, Scratch, skew_join, table
+from newsdesk.llm.common import WS, Scratch, quoted, skew_join, table
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -39,13 +40,13 @@ def winners(rows: DataFrame, salts: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     """`docs` with keep_id, group_size, kept and text_sha256."""
-    names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id"), normalised(F.col("text")).alias("norm"))
+    names = [c for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept", "text_sha256")]
+    rows = docs.select(F.struct(*map(quoted, names)).alias("row"), F.col("doc_id"), normalised(F.col("text")).alias("norm"))
     rows = rows.withColumn("digest", F.sha2("norm", 256))
     found = Scratch(docs.sparkSession, "exact-dedup").write(winners(rows.select("doc_id", "norm", "digest"), salts), "winners")
     out = skew_join(rows.select("row", "digest"), found, ["digest"], "group_size", docs.count())
     return out.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in names],
+        *[quoted("row", c).alias(c) for c in names],
         F.col("found.keep_id").alias("keep_id"),
         F.col("found.group_size").alias("group_size"),
         F.col("row.doc_id").eqNullSafe(F.col("found.keep_id")).alias("kept"),

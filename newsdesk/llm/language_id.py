@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import slices, table, with_fields
+from newsdesk.llm.common import map_in_arrow, slices, table, with_fields, without
 
 BUCKETS = 1 << 16
 UND = "und"
@@ -157,9 +157,9 @@ def _predict(shared):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred and score, in place of any columns of these names (the posterior probability of that language)."""
-    rows = docs.drop("lang_pred", "score")
+    rows = without(docs, "lang_pred", "score")
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(shared), with_fields(rows, "lang_pred string, score double"))
+    return map_in_arrow(rows, _predict(shared), with_fields(rows, "lang_pred string, score double"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.llm.chat_format import ranges
-from newsdesk.llm.common import slices, table, with_fields
+from newsdesk.llm.common import map_in_arrow, slices, table, with_fields, without
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -218,8 +218,8 @@ def _encode(path: str):
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """`docs` with ids: the text's ids as little-endian unsigned integers of 16 bits (32 for over 65,536 pieces)."""
-    rows = docs.drop("ids")
-    return rows.mapInArrow(_encode(path), with_fields(rows, "ids binary"))
+    rows = without(docs, "ids")
+    return map_in_arrow(rows, _encode(path), with_fields(rows, "ids binary"))
 
 
 def _decode(path: str):
@@ -227,7 +227,7 @@ def _decode(path: str):
         model = pieces(path)
         for batch in batches:
             ids = [np.frombuffer(x or b"", model.dtype) for x in batch.column("ids").to_pylist()]
-            rest = [c for c in batch.schema.names if c not in ("ids", "decoded")]
+            rest = [c for c in batch.schema.names if c != "ids"]
             crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
             columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(model.decode(ids), pa.string())]
             yield pa.record_batch([*(batch.column(c) for c in rest), *columns], [*rest, "n_ids", "ids_crc32", "decoded"])
@@ -238,7 +238,8 @@ def _decode(path: str):
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` with n_ids, ids_crc32 (over unsigned 32-bit integers) and decoded in place of ids."""
     more = "n_ids long, ids_crc32 long, decoded string"
-    return encoded.mapInArrow(_decode(path), with_fields(encoded, more, ("ids", "decoded")))
+    rows = without(encoded, "n_ids", "ids_crc32", "decoded")
+    return map_in_arrow(rows, _decode(path), with_fields(rows, more, ("ids",)))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsdesk.llm import line_dedup, near_dedup, substring_dedup
+from newsdesk.llm import exact_dedup, language_id, line_dedup, media, near_dedup, sentencepieces, substring_dedup
 from newsdesk.llm.common import Scratch
 
 N = 40
@@ -41,3 +41,39 @@ def test_near_duplicates_look_up_one_text_a_class(spark, docs):
     assert run.classes.count() == 2 * N + 1
     assert run.texts_of(run.classes.select("node")).count() == 2 * N + 1
     assert run.payloads(run.classes.select("node")).count() == 2 * N + 1
+
+
+CLASHING = ("a.b", "row", "found", "hot", "cold", "d", "h", "n", "key", "kept", "keep_id", "n_words", "n_lines", "marks", "gone", "score", "media", "n_bytes", "feature", "ids", "n_ids", "decoded", "Text_Hash", "digest")
+
+
+def test_columns_of_any_name(spark):
+    """Operators that keep other columns do so whatever their names; a name of a new column is replaced."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(k, "a line of text here\n" * 3, "en") for k in range(4)], "doc_id long, text string, lang string")
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    runs = {
+        "exact": exact_dedup.exact_dedup(docs), "lines": line_dedup.remove_lines(docs), "repeats": substring_dedup.remove_repeats(docs),
+        "language": language_id.predict(docs, language_id.train(docs)), "stored": media.store(docs), "media": media.features(media.store(docs)),
+        "encoded": sentencepieces.encode(docs, pieces), "decoded": sentencepieces.decode(sentencepieces.encode(docs, pieces), pieces),
+    }
+    for name, found in runs.items():
+        low = [c.lower() for c in found.columns]
+        assert len(set(low)) == len(low) and "a.b" in low, name
+        rows = found.select("doc_id", "`a.b`").collect()
+        assert len(rows) == 4 and all(r["a.b"] == f"a.b{r.doc_id}" for r in rows), name
+
+
+def test_tables_of_null_ids_stay_linear(spark):
+    """2000 rows without a doc_id: the steps' tables have a few rows for each, not for each pair."""
+    rng = random.Random(8)
+    line = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60))
+    docs = spark.createDataFrame([(None, f"{line} x{k % 50} y") for k in range(2000)], "doc_id long, text string")
+    run = near_dedup.NearDuplicates(docs, 2, 80)
+    members = run.members()
+    assert members.count() <= 30 * 50 and run.result().count() == 2000
+    found = substring_dedup.remove_repeats(docs)
+    assert found.count() == 2000 and found.where("n_removed > 0").isEmpty()
+    lines = line_dedup.remove_lines(docs)
+    assert lines.count() == 2000
