@@ -9,8 +9,8 @@ configurations leave is filled with the small pieces, best fit first. The plan i
 number of groups, not on the number of documents. Spark ranks the pieces by (length, doc_id, piece) with one
 range sort and each task looks its pieces up in the plan.
 
-Defined cases: a null text counts as empty and is one piece, the end id alone; repeated rows are packed each; an
-empty table gives no pieces.
+Defined cases: a null text counts as empty and is one piece, the end id alone; repeated rows are packed each, also
+those of one doc_id or none; other columns are left behind; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -2,17 +2,28 @@
 
 A pre-token of these tokenizers never crosses ASCII white space, so a text's ids are those of its
 white-space-separated chunks, one after the other. Chunks repeat, so each is encoded once per worker and kept
-in a bounded cache. Texts that hold one of the tokenizer's special strings are encoded whole.
+in a bounded cache. Texts that hold one of the tokenizer's special strings are encoded whole. A file with another
+normaliser or pre-tokeniser than the one that this relies on is an error.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 
 import numpy as np
 
+#: What a tokenizer file must say for the encoding by chunks to be the library's.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _COMPOSING = re.compile(rb"[A-Z][\x80-\xff]")
 
 
@@ -30,6 +41,9 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        config = json.loads(self.tokenizer.to_str())
+        if [config[k] for k in ("normalizer", "pre_tokenizer")] != [_NORMALIZER, _PRE_TOKENIZER] or config["model"]["type"] != "BPE":
+            raise ValueError(f"{path} normalises or splits texts in another way than this encoder does")
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
