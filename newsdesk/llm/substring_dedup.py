@@ -7,14 +7,16 @@ also starts in a document with a smaller doc_id; windows are judged on the input
 2. Of each window the smallest hash of `PREFIX` consecutive words is its *anchor* (a minimizer): equal windows have
    equal anchors at equal places, and one document in about 22 words has one. Windows whose anchor occurs in a
    single document cannot repeat, and their text stays where it is.
-3. For the others, the stretch of text that an anchor's windows span becomes a *segment*, dealt out by the anchor's
-   words, the shared prefix of the group's suffixes. Equal segments are combined on the way, so a passage in very
-   many documents is one segment with its smallest doc_id.
-4. A group of at most `GROUP` segments fits in memory: its suffixes are ranked by prefix doubling, which is its
-   suffix tree level by level, and the internal nodes of depth WINDOW or more are the runs of equal rank. Larger
-   groups are split by longer prefixes: their suffixes are dealt out by all WINDOW words, where a group is one node,
-   and combined by partial aggregation.
-5. A leaf whose node holds a smaller doc_id marks its window; each document collects its marks and drops the words.
+3. For the others, the stretch of text that an anchor's windows span becomes a *segment*. Equal segments are combined
+   on the way, so a passage in very many documents is one segment with its smallest doc_id. Segments are dealt out by
+   the anchor's words, the shared prefix of the group's suffixes.
+4. A group of at most `GROUP_BYTES` fits in memory. A larger one is split by longer prefixes, of 16 and then 29 words
+   with the anchor: a segment's windows that hold them behind the anchor go there, the others by as many words before
+   it. What is still too large goes by all WINDOW words, where a group is one node and is combined by aggregation.
+   Nothing is left out: the prefix only decides who builds a subtree.
+5. A group's suffixes are ranked by prefix doubling, which is its suffix tree level by level; the internal nodes of
+   depth WINDOW or more are the runs of equal rank. A leaf whose node holds a smaller doc_id marks its window, and
+   marked windows in a row are one maximal repeat; each document collects these and drops their words.
 
 Defined cases: null text has no words; a null doc_id counts as larger than any other and two nulls as equal; rows
 with the same doc_id don't remove words from each other; without 50 words nothing goes; an empty table gives no rows.
@@ -22,20 +24,23 @@ with the same doc_id don't remove words from each other; without 50 words nothin
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.llm.chat_format import ranges
-from newsdesk.llm.common import Scratch, group_starts, groups, skew_join, slices, table, with_fields
+from newsdesk.llm.common import Scratch, group_starts, groups, map_in_arrow, skew_join, slices, table, with_fields, without
 from newsdesk.llm.words import mix, rolled, word_hashes
 
 U = np.uint64
-WINDOW, PREFIX, GROUP = 50, 8, 8192
+WINDOW, PREFIX, LONGER = 50, 8, (16, 29)  # a window has LONGER words behind its anchor's start, or before its end
+GROUP_BYTES = 8 << 20
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -101,15 +106,15 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.repeat(bases, sizes) + wanted.flatten().to_numpy()
         same = keys[:, 0] == batch.column("k1").to_numpy()
         take = np.flatnonzero(np.isin(place, known[np.repeat(same, sizes)]) & same[owner])
-        owner, first, n, h = owner[take], first[take], n[take], h[take]
+        owner, first, n, h, place = owner[take], first[take], n[take], h[take], place[take]
         words = b" ".join(joined.split())
         sizes = ends - starts + 1
         at = np.cumsum(sizes) - sizes  # of each word in `words`
         texts = [words[a:b] for a, b in zip(at[first].tolist(), (at + sizes - 1)[first + n + WINDOW - 2].tolist(), strict=True)]
         values = _roll_spans(hashes, first, n + WINDOW - 1)
         columns = [pa.array(h.view(np.int64)), pa.array(values), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("d").take(pa.array(owner)), batch.column("text_hash").take(pa.array(owner))]
-        columns += [pa.array(keys[owner, 0]), pa.array(first - bases[owner]), pa.array(n)]
-        yield pa.record_batch(columns, ["h", "g", "segment", "d", "text_hash", "k1", "start", "n"])
+        columns += [pa.array(keys[owner, 0]), pa.array(first - bases[owner]), pa.array(n), pa.array((place - first).astype(np.int32))]
+        yield pa.record_batch(columns, ["h", "g", "segment", "d", "text_hash", "k1", "start", "n", "anchor"])
 
 
 def _roll_spans(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -137,13 +142,14 @@ def window_ranks(words: np.ndarray) -> np.ndarray:
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the segments of whole groups: runs of windows that also start in a smaller document."""
-    for rows in groups(batches, ["h"]):
-        cuts = group_starts(rows, ["h"])
-        step = np.flatnonzero(np.diff(cuts // 4096, prepend=-1))  # a few thousand segments at a time, whole groups
+    for rows in groups(batches, ["key"]):
+        cuts = group_starts(rows, ["key"])
+        sizes = np.cumsum(pc.binary_length(rows.column("segment")).to_numpy())
+        step = np.flatnonzero(np.diff(np.append(0, sizes)[cuts] >> 20, prepend=-1))  # about 1 MB at a time, whole groups
         bounds = np.append(cuts[step], rows.num_rows)
         for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            part = rows.slice(at, to - at)
-            hashes, counts, *_ = word_hashes(part.column("segment").combine_chunks() if isinstance(part.column("segment"), pa.ChunkedArray) else part.column("segment"), lower=False)
+            part = rows.slice(at, to - at).combine_chunks()
+            hashes, counts, *_ = word_hashes(part.column("segment"), lower=False)
             windows = counts - WINDOW + 1
             starts = ranges(np.cumsum(counts) - counts, windows)
             owner = np.repeat(np.arange(len(counts)), windows)
@@ -153,19 +159,46 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = np.flatnonzero(np.diff(ranks[order], prepend=-1))
             least = np.empty(len(order), np.int64)
             least[order] = np.repeat(np.minimum.reduceat(low[order], node), np.diff(np.append(node, len(order))))
-            yield _runs(part, owner, starts - (np.cumsum(counts) - counts)[owner], least < low)
+            offset = starts - (np.cumsum(counts) - counts)[owner] + part.column("base").to_numpy()[owner]
+            yield _runs(part, owner, offset, least < low)
 
 
 def _runs(rows: pa.Table, owner: np.ndarray, offset: np.ndarray, marked: np.ndarray) -> pa.RecordBatch:
-    """(h, g, froms, tos): runs of marked windows in each segment, as offsets."""
+    """(h, g, from, to): runs of marked windows of each segment."""
     at = np.flatnonzero(marked)
     owner, offset = owner[at], offset[at]
     new = np.r_[True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)] if len(at) else np.empty(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1 if len(at) else first
-    n = rows.num_rows
-    columns = [rows.column(k).combine_chunks() for k in ("h", "g")]
-    return pa.record_batch([*columns, _lists(offset[first], owner[first], n), _lists(offset[last], owner[first], n)], ["h", "g", "froms", "tos"])
+    own = [rows.column(k).combine_chunks().take(pa.array(owner[first])) for k in ("h", "g")]
+    return pa.record_batch([*own, pa.array(offset[first]), pa.array(offset[last])], ["h", "g", "from", "to"])
+
+
+def _longer(words: int):
+    """Segments cut in two: windows with `words` words from the anchor's start on, and the others, by words before its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "segment", 1 << 20):
+            hashes, counts, joined, starts, ends = word_hashes(batch.column("segment"), lower=False)
+            bases, anchor = np.cumsum(counts) - counts, batch.column("anchor").to_numpy().astype(np.int64)
+            cut = np.clip(anchor - (WINDOW - words), 0, counts - WINDOW + 1)  # the first window of the right part
+            grams = rolled(hashes, words)
+            parts = []
+            for side, some, first, last, key_at in (
+                (1, np.flatnonzero(cut <= counts - WINDOW), cut, counts - 1, anchor),
+                (2, np.flatnonzero(cut > 0), np.zeros_like(cut), cut + WINDOW - 2, anchor + PREFIX - words),
+            ):
+                keys = mix(grams[(bases + key_at)[some]] + U(side) * U(0x9E3779B97F4A7C15) + U(words))
+                texts = [joined[a:b] for a, b in zip(starts[(bases + first)[some]].tolist(), ends[(bases + last)[some]].tolist(), strict=True)]
+                parts.append((some, keys, texts, first[some]))
+            who = np.concatenate([p[0] for p in parts])
+            first = np.concatenate([p[3] for p in parts])
+            columns = [pa.array(np.concatenate([p[1] for p in parts]).view(np.int64))] + [batch.column(k).take(pa.array(who)) for k in ("h", "g", "low", "high")]
+            columns += [pa.array(first + batch.column("base").to_numpy()[who]), pa.array((anchor[who] - first).astype(np.int32))]
+            columns.append(pa.array([x for p in parts for x in p[2]], pa.binary()).cast(pa.string()))
+            yield pa.record_batch(columns, ["key", "h", "g", "low", "high", "base", "anchor", "segment"])
+
+    return run
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,19 +211,41 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(counts)), n)
         both = [rolled(hashes, WINDOW)[starts], rolled(mix(hashes + U(0x9E3779B97F4A7C15)), WINDOW)[starts]]
         columns = [batch.column(k).take(pa.array(owner)) for k in ("h", "g", "low")]
-        yield pa.record_batch([*columns, pa.array(starts - bases[owner]), *(pa.array(x.view(np.int64)) for x in both)], ["h", "g", "low", "offset", "w1", "w2"])
+        offset = starts - bases[owner] + batch.column("base").to_numpy()[owner]
+        yield pa.record_batch([*columns, pa.array(offset), *(pa.array(x.view(np.int64)) for x in both)], ["h", "g", "low", "offset", "w1", "w2"])
 
 
-def _single_nodes(classes: DataFrame) -> DataFrame:
+def _single_nodes(segments: DataFrame, scratch: Scratch) -> DataFrame:
     """What _tree gives, for groups of any size: each node is a group of its own."""
-    windows = classes.select("h", "g", "segment", "low").mapInArrow(_windows, "h long, g long, low long, offset long, w1 long, w2 long")
-    nodes = windows.groupBy("w1", "w2").agg(F.min("low").alias("least"))
-    marked = windows.join(nodes, ["w1", "w2"]).where("least < low")
-    each = marked.groupBy("h", "g").agg(F.sort_array(F.collect_set("offset")).alias("froms"))
-    return each.select("h", "g", "froms", F.col("froms").alias("tos"))
-
-
-def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    windows = segments.select("h", "g", "segment", "low", "base").mapInArrow(_windows, "h long, g long, low long, offset long, w1 long, w2 long")
+    windows = scratch.write(windows, "windows")
+    nodes = scratch.write(windows.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.count("*").alias("n")), "nodes")
+    marked = skew_join(windows, nodes, ["w1", "w2"], "n", windows.count()).where("found.least < low")
+    return marked.select("h", "g", F.col("offset").alias("from"), F.col("offset").alias("to"))
+
+
+def _marked_runs(classes: DataFrame, scratch: Scratch, group_bytes: int) -> DataFrame:
+    """(h, g, from, to): runs of windows of written classes (h, g, segment, low, high, anchor) that a smaller document has."""
+    rows = classes.select(F.col("h").alias("key"), "h", "g", "low", "high", F.lit(0).cast("long").alias("base"), "anchor", "segment")
+    runs = []
+    for words in (*LONGER, None):
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.octet_length("segment")).alias("bytes"), F.min("low").alias("x"), F.max("high").alias("y"))
+        sizes = scratch.write(sizes.where("size > 1 and x < y").select("key", "size", "bytes"), "sizes")
+        sized = skew_join(rows, sizes, ["key"], "size", rows.count())
+        light = sized.where(F.col("found.bytes") <= group_bytes).select("key", "h", "g", "low", "base", "segment")
+        runs.append(light.repartition("key").sortWithinPartitions("key").mapInArrow(_tree, "h long, g long, from long, to long"))
+        if sizes.where(F.col("bytes") > group_bytes).isEmpty():
+            break
+        heavy = sized.where(F.col("found.bytes") > group_bytes)
+        if words is None:
+            runs.append(_single_nodes(heavy, scratch))
+        else:
+            kinds = "key long, h long, g long, low long, high long, base long, anchor int, segment string"
+            rows = scratch.write(heavy.select("h", "g", "low", "high", "base", "anchor", "segment").mapInArrow(_longer(words), kinds), "longer")
+    return functools.reduce(DataFrame.unionByName, runs)
+
+
+def marks(docs: DataFrame, scratch: Scratch, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(d, text_hash, marks): for each document with something to remove, an array of (k1, copy, spans), one per word sequence it has.
 
     The hash of the text tells rows with one doc_id (or none) apart, so no group or join grows with their number.
@@ -204,23 +259,21 @@ def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(rows)
 
     found = owned.where("not copy").select("d", "text_hash", "k1", F.inline("anchors").alias("h", "place"))
-    repeated = found.groupBy("h").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y").select("h")
-    places = scratch.write(found.join(repeated, "h").groupBy("d", "text_hash", "k1").agg(F.collect_set("place").alias("places")), "places")
-    kinds = "h long, g long, segment string, d long, text_hash long, k1 long, start long, n long"
+    repeated = found.groupBy("h").agg(F.min("d").alias("x"), F.max("d").alias("y"), F.count("*").alias("n")).where("x < y").select("h", "n")
+    repeated = scratch.write(repeated, "repeated")
+    total = owned.where("not copy").agg(F.sum(F.size("anchors"))).first()[0] or 0
+    again = skew_join(found, repeated, ["h"], "n", total).where("found is not null")
+    places = scratch.write(again.groupBy("d", "text_hash", "k1").agg(F.collect_set("place").alias("places")), "places")
+    kinds = "h long, g long, segment string, d long, text_hash long, k1 long, start long, n long, anchor int"
     met = scratch.write(texts.join(places, ["d", "text_hash"]).select("text", "d", "text_hash", "k1", "places").mapInArrow(_segments, kinds), "segments")
 
-    alike = met.groupBy("h", "g", "segment").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("times"))
+    alike = met.groupBy("h", "g", "segment").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("times"), F.first("anchor").alias("anchor"))
     alike = scratch.write(alike, "classes")
-    sizes = alike.groupBy("h").agg(F.count("*").alias("size"), F.min("low").alias("x"), F.max("high").alias("y")).where("x < y").select("h", "size")
-    sized = alike.join(sizes, "h")
-    light = sized.where((F.col("size") > 1) & (F.col("size") <= GROUP)).select("h", "g", "segment", "low")
-    kinds = "h long, g long, froms array<long>, tos array<long>"
-    runs = light.repartition("h").sortWithinPartitions("h").mapInArrow(_tree, kinds)
-    runs = runs.unionByName(_single_nodes(sized.where(F.col("size") > GROUP)))
-    lookup = scratch.write(alike.select("h", "g", "low", "times").join(runs.where(F.size("froms") > 0), ["h", "g"], "left"), "runs")
+    runs = _marked_runs(alike, scratch, group_bytes).groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    lookup = scratch.write(alike.select("h", "g", "low", "times").join(runs, ["h", "g"], "left"), "runs")
     spans = skew_join(met.select("h", "g", "d", "text_hash", "k1", "start", "n"), lookup, ["h", "g"], "times", met.count())
     whole = F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("n") - 1).alias("to")))
-    some = F.transform(F.arrays_zip("found.froms", "found.tos"), lambda x: F.struct((x["froms"] + F.col("start")).alias("from"), (x["tos"] + F.col("start")).alias("to")))
+    some = F.transform("found.runs", lambda x: F.struct((x["from"] + F.col("start")).alias("from"), (x["to"] + F.col("start")).alias("to")))
     spans = spans.select("d", "text_hash", "k1", F.inline(F.when(F.col("d") > F.col("found.low"), whole).otherwise(some)).alias("from", "to"))
     parts = spans.groupBy("d", "text_hash", "k1").agg(F.collect_set(F.struct("from", "to")).alias("spans")).withColumn("copy", F.lit(False))
     copies = owned.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("d", "text_hash", "k1").distinct()
@@ -260,12 +313,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(batch.column(c) for c in rest), *columns], [*rest, "n_words", "n_removed", "kept", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with n_words, n_removed, kept and kept_sha256; `kept` is null where nothing was removed."""
-    rows = docs.drop("n_words", "n_removed", "kept", "kept_sha256", "marks", "d", "text_hash")
-    found = marks(rows, Scratch(docs.sparkSession, "substring-dedup"))
-    joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_hash", F.xxhash64("text")).join(found, ["d", "text_hash"], "left").drop("d", "text_hash")
-    return joined.mapInArrow(_remove, with_fields(rows, "n_words long, n_removed long, kept string, kept_sha256 string"))
+def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """`docs` with n_words, n_removed, kept and kept_sha256; `kept` is null where nothing was removed.
+
+    group_bytes: how much text a group of suffixes may have before it is split by longer prefixes."""
+    rows = without(docs, "n_words", "n_removed", "kept", "kept_sha256", "marks", "d", "text_hash")
+    found = marks(rows, Scratch(docs.sparkSession, "substring-dedup"), group_bytes)
+    joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_hash", F.xxhash64("text")).join(found, ["d", "text_hash"], "left")
+    return map_in_arrow(without(joined, "d", "text_hash"), _remove, with_fields(rows, "n_words long, n_removed long, kept string, kept_sha256 string"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
