@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import Scratch, group_starts, groups
+from newsdesk.llm.common import Scratch, group_starts, groups, skew_join
 from newsdesk.llm.components import components, joined_components
 
 BLOCK = 512
@@ -134,7 +134,7 @@ class BucketLinks:
 
         everyone = members.unionByName(members.select("leader", F.col("leader").alias("node")).distinct())
         label = F.coalesce("component", "node").alias("label")
-        rows = everyone.join(found, "node", "left").select("leader", "node", label)
+        rows = self.scratch.write(everyone.join(found, "node", "left").select("leader", "node", label), "labelled")
         hit = self.dealt(rows).join(self.summaries, "node")
         hit = self.in_groups(hit, "sig").mapInArrow(_plausible(self.kind), "leader long, node long").distinct()
         hit = self.scratch.write(hit.join(found, "node", "left").select("leader", "node", label), "residual")
@@ -143,12 +143,12 @@ class BucketLinks:
         links = self.scratch.write(self.in_groups(links, "payload").mapInArrow(_links(self.kind), "a long, b long").distinct(), "links")
         return self.scratch.write(joined_components(found, links, self.scratch), "components")
 
-    @staticmethod
-    def dealt(rows: DataFrame) -> DataFrame:
-        """(leader, left, right, is_left, node, label): the two sides of each leader's rows (leader, node, label), in blocks."""
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """(leader, left, right, is_left, node, label): the two sides of each leader's written rows (leader, node, label), in blocks."""
         sizes = rows.groupBy("leader", "label").agg(F.count("*").alias("n"))
         sizes = sizes.groupBy("leader").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("in_main"), F.count("*").alias("labels"))
-        rows = rows.join(sizes.where("labels > 1"), "leader")
+        sizes = self.scratch.write(sizes.where("labels > 1").drop("labels"), "sizes")
+        rows = skew_join(rows, sizes, ["leader"], "all", rows.count()).where("found is not null").select("leader", "node", "label", "found.*")
         lefts = F.ceil((F.col("all") - F.col("in_main")) / BLOCK).cast("int")
         rights = F.ceil(F.col("all") / BLOCK).cast("int")
         block = lambda n: F.pmod(F.hash("node"), n)

@@ -8,24 +8,29 @@ at the places that the multi-match-aware bounds leave, (tau^2 - d^2) / 2 + tau +
 d. Index and probes meet in one shuffle; candidate pairs are verified with a banded bit-parallel edit distance over
 code points, in step for a batch of pairs. Large buckets: see bucket_links.
 
-Defined cases: blank lines (white space only) stay and are not compared; lines under `least` characters are
-duplicates only when equal; a null text has no lines; a null doc_id counts as larger than any other; a line at the
+Lines of at most tau characters have no such segment. They and the lines of at most 2 tau, with which alone they can
+be linked, meet under what is left of each when up to tau characters are deleted: lines within tau edits share that.
+
+Defined cases: blank lines (white space only) stay and are not compared; lines of any other length are linked within
+tau edits, so all lines of at most tau characters are linked; a null text has no lines; a null doc_id counts as larger than any other; a line at the
 same place of rows with the same doc_id is one occurrence; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.llm.bucket_links import BucketLinks, Similarity
 from newsdesk.llm.chat_format import ranges
-from newsdesk.llm.common import Scratch, skew_join, slices, table, with_fields
+from newsdesk.llm.common import Scratch, map_in_arrow, skew_join, slices, table, with_fields, without
 from newsdesk.llm.words import mix
 
 U = np.uint64
@@ -46,6 +51,12 @@ def segment_bounds(length: np.ndarray, tau: int, i: int) -> tuple[np.ndarray, np
     return before, short + (i >= tau + 1 - longer)
 
 
+def left_over(line: str, tau: int) -> set[int]:
+    """Hashes of what a short line is after up to tau deletions."""
+    kept = range(max(0, len(line) - tau), len(line) + 1)
+    return {xxhash.xxh64_intdigest("".join(x).encode("utf-8", "surrogatepass"), 7) for n in kept for x in itertools.combinations(line, n)}
+
+
 def entries(lines: list[str], tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, line number, whether it is an index entry) of each entry."""
     codes, length = codes_of(lines)
@@ -79,6 +90,10 @@ def entries(lines: list[str], tau: int) -> tuple[np.ndarray, np.ndarray, np.ndar
                 other_place = start != own[who]
                 who, start = who[other_place], start[other_place]
             add(who, start, size[who], other[who], i, False)
+    short = [(i, length[i] <= tau, k) for i in np.flatnonzero(length <= 2 * tau).tolist() for k in left_over(lines[i], tau)]
+    keys.append(np.array([k for *_, k in short], U))
+    owners.append(np.array([i for i, *_ in short], np.int64))
+    kinds.append(np.array([is_short for _, is_short, _ in short], bool))
     return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(kinds)
 
 
@@ -99,9 +114,10 @@ def within(left: list[str], right: list[str], tau: int) -> np.ndarray:
     ok = np.zeros(len(left), bool)
     swapped = [(b, a) if len(a) < len(b) else (a, b) for a, b in zip(left, right, strict=True)]
     order = sorted((k for k, (a, b) in enumerate(swapped) if len(a) - len(b) <= tau), key=lambda k: len(swapped[k][0]))
+    bits = np.uint8 if tau <= 3 else np.int64  # sums have 2 tau + 2 bits
     at = 0
     while at < len(order):
-        to, size = at, 0
+        to = at
         while to < len(order) and (to == at or (to - at + 1) * len(swapped[order[to]][0]) <= 1 << 21):
             to += 1
         chosen = np.array(order[at:to])
@@ -109,33 +125,32 @@ def within(left: list[str], right: list[str], tau: int) -> np.ndarray:
         one, n = codes_of([swapped[k][0] for k in chosen])
         other, m = codes_of([swapped[k][1] for k in chosen])
         width = int(n.max()) + 2 * tau + 1
-        a, b = np.full((len(chosen), width), -1, np.int64), np.full((len(chosen), width), -2, np.int64)
-        a[np.repeat(np.arange(len(chosen)), n), tau + ranges(np.zeros(len(n), np.int64), n)] = one
-        b[np.repeat(np.arange(len(chosen)), m), ranges(np.zeros(len(m), np.int64), m)] = other
-        mask = (1 << (2 * tau + 1)) - 1
-        plus = np.full(len(chosen), mask & ~((1 << tau) - 1))
-        minus = np.zeros(len(chosen), np.int64)
+        a, b = np.full((width, len(chosen)), -1, np.int32), np.full((width, len(chosen)), -2, np.int32)
+        a[tau + ranges(np.zeros(len(n), np.int64), n), np.repeat(np.arange(len(chosen)), n)] = one
+        b[ranges(np.zeros(len(m), np.int64), m), np.repeat(np.arange(len(chosen)), m)] = other
+        mask = bits((1 << (2 * tau + 1)) - 1)
+        plus = np.full(len(chosen), mask & ~bits((1 << tau) - 1), bits)
+        minus = np.zeros(len(chosen), bits)
         distance = n - m
-        mark = tau + distance
+        mark = (tau + distance).astype(bits)
         for j in range(int(m.max())):
-            match = np.zeros(len(chosen), np.int64)
+            match = np.zeros(len(chosen), bits)
             for k in range(2 * tau + 1):
-                match |= (a[:, j + k] == b[:, j]).astype(np.int64) << k
+                match |= (a[j + k] == b[j]).astype(bits) << bits(k)
             same = (((match & plus) + plus) ^ plus) | match | minus
             up = (minus | ~(same | plus)) & mask
             down = same & plus & mask
-            going = j < m
-            distance += going & ((same >> mark) & 1 == 0)
-            same = (same & mask) >> 1
+            distance += (j < m) & ((same >> mark) & bits(1) == 0)
+            same = (same & mask) >> bits(1)
             plus, minus = (down | ~(same | up)) & mask, up & same
             if j % 16 == 15 or j + 1 == int(m.max()):
-                done = (m <= j + 1) & (distance <= tau)
-                ok[chosen[done]] = True
+                ok[chosen[(m <= j + 1) & (distance <= tau)]] = True
                 stay = (m > j + 1) & (distance <= tau)
-                if not stay.all():
-                    a, b, plus, minus, distance, mark, m, chosen = (x[stay] for x in (a, b, plus, minus, distance, mark, m, chosen))
-                    if not len(chosen):
+                if 4 * stay.sum() < 3 * len(stay):
+                    if not stay.any():
                         break
+                    a, b = a[:, stay], b[:, stay]
+                    plus, minus, distance, mark, m, chosen = (x[stay] for x in (plus, minus, distance, mark, m, chosen))
         ok[chosen[(m == 0) & (distance <= tau)]] = True
     return ok
 
@@ -180,18 +195,13 @@ class Edits(Similarity):
 
     def linked(self, one: list, other: list, apart: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """The plausible pairs of many lines are verified together: within() works on them in step."""
-        a, b = self.matrix([r.tobytes() for r in summaries(one)]), self.matrix([r.tobytes() for r in summaries(other)])
-        left, right = [], []
-        for i in range(len(one)):
-            some = np.flatnonzero(apart[i])
-            some = some[self.plausible(a[i], b[some])]
-            left += [i] * len(some)
-            right += some.tolist()
-            if len(left) > 1 << 14 or i + 1 == len(one):
-                ok = within([one[x] for x in left], [other[x] for x in right], self.tau)
-                at, found = np.array(left, np.int64)[ok], np.array(right, np.int64)[ok]
-                yield from ((int(x), found[at == x]) for x in np.unique(at))
-                left, right = [], []
+        a, b = summaries(one).view(np.int8), summaries(other).view(np.int8)
+        for at in range(0, len(one), 64):
+            off = np.abs(a[at : at + 64, None] - b[None]).view(np.uint8).sum(axis=2, dtype=np.uint16)
+            left, right = np.nonzero((off <= 2 * self.tau) & apart[at : at + 64])
+            ok = within([one[at + x] for x in left.tolist()], [other[x] for x in right.tolist()], self.tau)
+            left, right = left[ok], right[ok]
+            yield from ((at + int(x), right[left == x]) for x in np.unique(left))
 
 
 class LineLinks(BucketLinks):
@@ -204,9 +214,10 @@ class LineLinks(BucketLinks):
     def members(self) -> DataFrame:
         """(leader, node) of lines that share a bucket with an indexed one, the smallest of these.
 
-        An entry is one number, twice the node plus 1 for an index entry, so that one shuffle serves both reads.
+        An entry is one number, twice the node plus 1 for an index entry. Both reads have the same filters below the
+        shuffle, so that it is made once.
         """
-        met = self.lines.mapInArrow(_entries(self.tau), "key long, entry long").repartition("key")
+        met = self.lines.mapInArrow(_entries(self.tau), "key long, entry long").where("key is not null and entry is not null").repartition("key")
         node = F.shiftright("entry", 1)
         leader = F.min(F.when(F.col("entry") % 2 == 1, node))
         ends = met.groupBy("key").agg(leader.alias("leader"), F.min(node).alias("x"), F.max(node).alias("y"))
@@ -219,10 +230,10 @@ class LineLinks(BucketLinks):
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         one, other = (self.lines.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-        return self.scratch.write(pairs.join(one, "a").join(other, "b").mapInArrow(_within(self.tau), "a long, b long"), "links")
+        return self.scratch.write(pairs.join(other, "b").join(one, "a").mapInArrow(_within(self.tau), "a long, b long"), "links")
 
 
-def duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 24) -> DataFrame:
+def duplicate_lines(docs: DataFrame, tau: int = 2) -> DataFrame:
     """(d, text_hash, gone): for each doc_id (a null as LAST) and text the lines to drop, as (position, xxhash64 of the line).
 
     The hash of the text keeps rows with one doc_id (or none) from becoming one group.
@@ -234,7 +245,7 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 24) -> DataFrame
     place = F.struct("d", "at")
     alike = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times")).select("*", *keys)
     alike = scratch.write(alike.withColumn("node", F.monotonically_increasing_id()), "lines")
-    links = LineLinks(scratch, alike.where(F.char_length("line") >= least).select("node", "line"), tau)
+    links = LineLinks(scratch, alike.select("node", "line"), tau)
     found = links.components(links.members())
     named = alike.select("node", "h1", "h2", "first", "times").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("times").alias("all"))
@@ -246,8 +257,6 @@ def duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 24) -> DataFrame
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     for batch in slices(batches, "text"):
         rows = []
         for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
@@ -264,12 +273,12 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(batch.column(c) for c in rest), *columns], [*rest, "n_lines", "n_removed", "kept", "kept_sha256"])
 
 
-def remove_lines(docs: DataFrame, tau: int = 2, least: int = 24) -> DataFrame:
+def remove_lines(docs: DataFrame, tau: int = 2) -> DataFrame:
     """`docs` with n_lines, n_removed, kept and kept_sha256; `kept` is null where nothing was removed."""
-    rows = docs.drop("n_lines", "n_removed", "kept", "kept_sha256", "gone", "d", "text_hash")
-    found = duplicate_lines(rows, tau, least)
-    joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_hash", F.xxhash64("text")).join(found, ["d", "text_hash"], "left").drop("d", "text_hash")
-    return joined.mapInArrow(_drop, with_fields(rows, "n_lines long, n_removed long, kept string, kept_sha256 string"))
+    rows = without(docs, "n_lines", "n_removed", "kept", "kept_sha256", "gone", "d", "text_hash")
+    found = duplicate_lines(rows, tau)
+    joined = rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_hash", F.xxhash64("text")).join(found, ["d", "text_hash"], "left")
+    return map_in_arrow(without(joined, "d", "text_hash"), _drop, with_fields(rows, "n_lines long, n_removed long, kept string, kept_sha256 string"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

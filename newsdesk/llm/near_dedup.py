@@ -179,7 +179,8 @@ class NearDuplicates(BucketLinks):
         one, other = (sets.select(F.col("node").alias(x), F.col("payload").alias(f"m{x}")) for x in "ab")
         shared = F.size(F.array_intersect("ma", "mb")).cast("long")
         all_of = F.size("ma") + F.size("mb") - shared
-        links = pairs.join(one, "a").join(other, "b").where(100 * shared >= self.percent * all_of).select("a", "b")
+        # b first: the shuffle to a then carries one set a pair, and that of a leader with many members only once
+        links = pairs.join(other, "b").join(one, "a").where(100 * shared >= self.percent * all_of).select("a", "b")
         return self.scratch.write(links, "links")
 
     def result(self) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -154,9 +155,8 @@ def test_components(spark):
     assert {r.node: r.component for r in got.collect()} == {n: find(n) for n in label}
 
 
-@pytest.mark.parametrize("group", [8192, 0])
-def test_substring_dedup(docs, rows, group, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "GROUP", group)
+@pytest.mark.parametrize("group_bytes", [8 << 20, 2000, 0])
+def test_substring_dedup(docs, rows, group_bytes):
     first = {}
     for r in rows:
         words = (r[1] or "").encode().split()
@@ -172,7 +172,7 @@ def test_substring_dedup(docs, rows, group, monkeypatch):
                 gone |= set(range(i, i + 50))
         kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
         want.append((r[0], len(words), len(gone), hashlib.sha256(kept).hexdigest()))
-    got = substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    got = substring_dedup.remove_repeats(docs, group_bytes).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert tally(tuple(r) for r in got.collect()) == tally(want) and sum(w[2] for w in want) > 200
 
 
@@ -205,7 +205,7 @@ def test_edit_join_parts(tau):
     near = [distance(a, b) <= tau for a, b in zip(left, right, strict=True)]
     assert line_dedup.within(left, right, tau).tolist() == near
     for a, b, ok in zip(left, right, near, strict=True):
-        if ok and a != b and min(len(a), len(b)) > tau:
+        if ok and a != b:
             keys, owner, index = line_dedup.entries([a, b], tau)
             sides = [{k for k, o, i in zip(keys, owner, index, strict=True) if o == w and (i or not only)} for w in (0, 1) for only in (True, False)]
             assert sides[0] & sides[3] or sides[2] & sides[1]
@@ -220,11 +220,10 @@ def test_line_dedup(docs, rows):
                     places[line].add((key(r[0]), at))
     lines = list(places)
     label = {x: x for x in lines}
-    for _ in range(3):
-        for a in lines:
-            for b in lines:
-                if min(len(a), len(b)) >= 24 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
-                    label[a] = label[b] = min(label[a], label[b])
+    close = [(a, b) for a in lines for b in lines if a < b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    for _ in lines:
+        for a, b in close:
+            label[a] = label[b] = min(label[a], label[b])
     first = {}
     for x in lines:
         first[label[x]] = min([*places[x], first.get(label[x], (float("inf"), 1 << 60))])
@@ -302,7 +301,8 @@ def test_packing_plan(n):
 
 def test_token_files(spark, docs, empty, rows):
     written = Scratch(spark, "test-tokens").write(token_files.segments(docs, WORDS, segment_ids=700), "segments")
-    order = sorted(range(len(rows)), key=lambda i: (-1 if rows[i][0] is None else rows[i][0], rows[i][1] or ""))
+    hashed = lambda t: 42 if t is None else (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    order = sorted(range(len(rows)), key=lambda i: (-1 if rows[i][0] is None else rows[i][0], hashed(rows[i][1])))
     encoded, at, want = library_ids([r[1] for r in rows]), 0, []
     for i in order:
         ids = np.array([*encoded[i], 2], "<u4")
@@ -318,12 +318,14 @@ def test_token_files(spark, docs, empty, rows):
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001, dtype=np.uint64).astype(np.uint32)
     data = token_files.pack(ids, bits)
-    assert len(data) == -(-1001 * bits // 8) and token_files.unpack(data, bits, 1001).tolist() == ids.tolist()
+    assert len(data) == 16 * bits * 8 and token_files.unpack(data, bits, 1001).tolist() == ids.tolist()
+    plain = sum(int(x) << (bits * k) for k, x in enumerate(ids))
+    assert int.from_bytes(data, "little") == plain
     assert token_files.unpack(data, bits, 17, 333).tolist() == ids[333:350].tolist()
 
 
 def test_media(docs, empty, rows):
-    got = media.features(media.store(docs)).collect()
+    got = media.features(media.store(docs.select("doc_id", "text"))).collect()
     want = []
     for r in rows:
         data = (r[1] or "").encode()
@@ -373,6 +375,40 @@ def test_jpeg_with_ac_coefficients_and_colour():
     assert (image.width, image.height) == (32, 8) and thumb.tolist() == [[128 + 2 * v for v in values]]
 
 
+def one_block_jpeg(height, width, scan, sampling=0x11, dc=None, quantiser=0):
+    sof = b"\xff\xc0\x00\x0b\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([1, 1, sampling, quantiser])
+    tables = media._dht(0, dc or {0: 2, 1: 2, 2: 2}) + media._dht(0x10, {0: 1})
+    return b"\xff\xd8" + b"\xff\xdb\x00\x43\x00\x08" + b"\x01" * 63 + sof + tables + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + scan + b"\xff\xd9"
+
+
+def test_media_that_contradicts_itself(spark):
+    """Sizes of zero, sampling of zero, more blocks than the scan has bits, no quantiser, no prefix code, an early end."""
+    good = one_block_jpeg(8, 8, b"\x1f")
+    files = [
+        good, one_block_jpeg(0, 8, b"\x1f"), one_block_jpeg(8, 0, b"\x1f"), one_block_jpeg(8, 8, b"\x1f", 0), one_block_jpeg(2400, 2400, b"\x1f" * 100),
+        one_block_jpeg(65528, 65528, b"\x1f" * 100), one_block_jpeg(8, 8, b"\x1f", quantiser=1), one_block_jpeg(8, 8, b"\x1f", dc={0: 1, 1: 1, 2: 1}),
+        one_block_jpeg(8, 64, b"\xaa\xaa"), good[:40], good + good, good + b"x",
+    ]
+    rows = spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary").withColumn("feature", F.lit("own")).withColumn("a.b", F.lit(1))
+    got = media.features(rows)
+    assert got.columns.count("feature") == 1 and "a.b" in got.columns
+    assert {r.doc_id for r in got.collect() if r.payload_bytes is not None} == {0, 10}
+
+
+def test_media_palette_and_independent_digests(docs, rows):
+    assert sorted(media.PALETTE.tolist()) == list(range(256)) and (media.BYTES[media.PALETTE] == np.arange(256)).all()
+    stored = media.store(docs).collect()
+    for r, f in zip(stored, media.features(media.store(docs)).collect(), strict=True):
+        assert (f.media_bytes, f.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
+        thumb = np.concatenate([t for _, t in media.decode([bytes(r.media)])[0]]).astype(float)
+        high, wide = thumb.shape
+        edge = [[n * k // 8 for k in range(9)] for n in (high, wide)]
+        cells = [[thumb[min(a, high - 1) : max(b, a + 1), c:d].mean() for c, d in zip(edge[1], edge[1][1:], strict=False)] for a, b in zip(edge[0], edge[0][1:], strict=False)]
+        if high >= 8:
+            bits = "".join(str(int(x > np.mean(cells))) for row in cells for x in row)
+            assert f.feature == f"1x{f.width}x{f.height}:{int(bits, 2):016x}"
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]\\ <|end|> <\\|start|>é"
     rows = [(1, 0, "user", said), (1, 1, "assistant", "a<[\\\\["), (1, 2, "assistant", None), (2, None, None, ""), (None, 3, "user", "x"), (2, 1, "as<|text|>", said), (1, 2, "assistant", None)]

@@ -36,6 +36,30 @@ def test_stages_take_effect(spark, tmp_path):
     assert hashlib.sha256(repr(again).encode()).hexdigest() == hashlib.sha256(repr(packed.orderBy("doc_id", "piece").collect()).encode()).hexdigest()
 
 
+def test_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows and ids, ties, texts of 0 to 6 words, one row a partition: each stage gives its defined result."""
+    letters = "le chat noir dort bien ici".split()
+    few = [" ".join(letters[:n]) for n in range(7)]
+    rows = [(k, t, "fr") for k, t in enumerate(few)] + [(None, "chien blanc", "fr"), (None, "chien blanc", None), (None, None, None), (3, few[3], "fr"), (3, "autre texte du tout", "fr"), (9, few[3], None)]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows, schema).repartition(len(rows))
+    want = [
+        [r for r in rows if r[1]],
+        [r for r in rows if r[1] and r[0] != 9],
+        [r for r in rows if r[1] and r[0] != 9],
+        [r for r in rows if r[1] and r[0] != 9],
+    ]
+    kept = docs
+    for k, ((name, stage), expected) in enumerate(zip(corpus_pipeline.STAGES, want, strict=False)):
+        kept = stage(spark, kept, str(tmp_path))
+        kept.write.parquet(str(tmp_path / f"odd{k}"))
+        kept = spark.read.parquet(str(tmp_path / f"odd{k}")).repartition(len(rows))
+        assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, expected)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).count() == len(want[-1])
+    assert corpus_pipeline.drop_exact_copies(spark, docs, "").where("text is null or text = ''").count() == 1
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").where("text is null or text = ''").count() == 2
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
