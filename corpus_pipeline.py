@@ -5,6 +5,12 @@ text in another language is taken for one of these), exact and near deduplicatio
 sequences of 2048 tokens. Each stage's result is written and read again by the next.
 
 Documents travel as a struct beside the columns that an operator reads, so columns of any name pass unharmed.
+
+Defined cases, in every stage: a null or empty text has no letter and goes in the first stage (a later stage keeps it, as
+a text without words, and exact dedup takes null and empty for equal); a null doc_id counts as larger than any other, so
+of equal texts without any id each row stays, and a document without an id never removes words of another one; rows that
+share doc_id and text are one document and stay together; of a tie between languages the first in the alphabet is taken;
+an empty table gives no pieces. Each stage names its own below.
 """
 
 from __future__ import annotations
@@ -31,8 +37,9 @@ def _restored(found: DataFrame, docs: DataFrame, *read: str, **new: F.Column) ->
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = 0.5) -> DataFrame:
     """Documents with a predicted language that has at least half of the probability among the known ones.
 
-    The others have no letter or are undecided. This doesn't tell unknown languages or lettered junk: the probability
-    is relative to the known languages.
+    The others have no letter (null and empty texts too) or are undecided. This doesn't tell unknown languages or
+    lettered junk: the probability is relative to the known languages. Equal texts go or stay together; without any
+    labelled row no language is known and all go.
     """
     model = language_id.train(docs)
     found = language_id.predict(_carried(docs, "text"), model)
@@ -40,17 +47,24 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, leas
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id."""
+    """Of equal texts, the document with the smallest doc_id: each row that has it. A null text equals an empty one."""
     return _restored(exact_dedup.exact_dedup(_carried(docs, "doc_id", "text")).where("kept"), docs, "doc_id", "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 of their 5-word shingles, the one with the smallest doc_id."""
+    """Of documents linked by a similarity of 0.8 of their 5-word shingles, the one with the smallest doc_id.
+
+    Texts without words are linked with nothing and stay; with fewer than five words, all of them are the one shingle.
+    """
     return _restored(near_dedup.keep_one(_carried(docs, "doc_id", "text")), docs, "doc_id", "text")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of 50-word windows that a document with a smaller doc_id has; n_chars follows the text."""
+    """Documents without the words of 50-word windows that a document with a smaller doc_id has; n_chars follows the text.
+
+    A document with nothing to remove keeps its text as it is, white space and null included; of the others the words
+    that are left are joined by one space, to an empty text if none is.
+    """
     found = substring_dedup.remove_repeats(_carried(docs, "doc_id", "text"))
     new = {"text": F.coalesce("kept", "text")}
     if "n_chars" in docs.columns:
@@ -60,7 +74,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of at most 2048 tokens."""
+    """Pieces of all documents with their places in sequences of at most 2048 tokens.
+
+    A null or empty text is one piece, the end id alone; rows with equal or no doc_id are packed each.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
