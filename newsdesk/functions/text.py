@@ -17,9 +17,13 @@ ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "
 PUNCTUATION = '.,;:!?()"“”'
 
 
+#: A run of white space that isn't one plain space; the first test passes over ordinary characters quickly.
+_RUN = rf"(?![\x21-\x7E])(?:\x20{WS}+|(?!\x20){WS}+)"
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space."""
-    return F.regexp_replace(c, f"{WS}+", " ")
+    return F.regexp_replace(c, _RUN, " ")
 
 
 def trim(c: Column) -> Column:
@@ -73,11 +77,12 @@ def decode_numeric(c: Column) -> Column:
 
 def strip_html(c: Column) -> Column:
     """Text of a fragment: scripts and styles go, tags become spaces, numeric and seven named entities are decoded."""
-    c = F.regexp_replace(c, r"(?is)<\s*(script|style)[^>]*>.*?<\s*/\s*\1\s*>", "")
-    c = decode_numeric(F.regexp_replace(c, r"<[^>]+>", " "))
+    plain = F.regexp_replace(F.regexp_replace(c, r"(?is)<\s*(script|style)[^>]*>.*?<\s*/\s*\1\s*>", ""), r"<[^>]+>", " ")
+    plain = F.when(c.contains("<"), plain).otherwise(c)
+    decoded = decode_numeric(plain)
     for name, text in ENTITIES:
-        c = F.regexp_replace(c, f"(?i)&{name};", text)
-    return trim(squeeze(c))
+        decoded = F.regexp_replace(decoded, f"(?i)&{name};", text)
+    return F.trim(squeeze(F.when(c.contains("&"), decoded).otherwise(plain)))
 
 
 def truncate(c: Column, most: int = 600) -> Column:
@@ -92,12 +97,11 @@ def strip_caption(c: Column) -> Column:
     """The body behind a photo caption and credit at the front; the text itself where it is not clearly one."""
     tries = []
     for end in CAPTION_ENDS:
-        pattern = rf"\s+{end}\s+(?=[A-ZÀ-Ý][a-zà-ÿ])"
-        found = F.regexp_extract(c, pattern, 0)
-        at = F.regexp_instr(c, F.lit(pattern)) - 1
-        body = trim(F.substring(c, at + F.char_length(found) + 1, F.char_length(c)))
-        good = (found != "") & at.between(5, 120) & (F.char_length(body) >= 40) & (at < F.char_length(body))
-        tries.append(F.when(good, body))
+        front = rf"(?s)^(.{{0,120}}?){end}"  # the first match, if it begins by character 120
+        whole, at = F.regexp_extract(c, front, 0), F.char_length(F.regexp_extract(c, front, 1))
+        body = trim(F.substring(c, F.char_length(whole) + 1, F.char_length(c)))
+        good = (at >= 5) & (F.char_length(body) >= 40) & (at < F.char_length(body))
+        tries.append(F.when((whole != "") & good, body))
     return F.when(F.char_length(c) >= 50, F.coalesce(*tries, c)).otherwise(c)
 
 

@@ -10,7 +10,9 @@ from newsdesk.functions.dates import parse_date
 from newsdesk.functions.urls import article_id, normalize_url
 from newsdesk.params import Lexicon
 
+# What an image's URL ends in, and where an HTML image has its URL.
 IMAGE = r"(?i)\.(jpe?g|png|webp|gif|avif)(\?|$)"
+IMG_SRC = r"(?i)<img[^>]+src=[\"']([^\"']+)[\"']"
 
 
 def extract_image() -> Column:
@@ -26,7 +28,7 @@ def extract_image() -> Column:
         given(F.col("mediaThumbnail.url")),
         F.get(F.filter("mediaContent", shows), F.lit(0))["url"],
         F.when(is_image, given(enclosed)),
-        given(F.regexp_extract(html, r"(?i)<img[^>]+src=[\"']([^\"']+)[\"']", 1)),
+        given(F.regexp_extract(html, IMG_SRC, 1)),
     )
 
 
