@@ -121,9 +121,14 @@ def _greedy_by_part(rows: DataFrame, p: ClusterParams) -> DataFrame:
 def cluster_components(windowed: DataFrame, lexicon: Lexicon, p: ClusterParams = ClusterParams()) -> DataFrame:
     """(edition_ts, id, component): the order-free variant. Articles linked by similarity and the entity guard, joined
     transitively; it may merge more than the greedy clustering."""
-    vectors = term_freq(windowed.select("id", "title", "description").dropDuplicates(["id"]), lexicon.stopwords, p.title_weight)
-    entities = windowed.select("id", text.named_entities(F.col("title")).alias("entities")).dropDuplicates(["id"])
-    pairs = guard_entities(similar_pairs(vectors, p.threshold), entities, p.high_cosine)
+    articles = windowed.select("id", "title", "description", "published_at").dropDuplicates(["id"])
+    vectors = term_freq(articles, lexicon.stopwords, p.title_weight)
+    entities = articles.select("id", text.named_entities(F.col("title")).alias("entities"))
+    # articles of one edition are at most a window apart: they share a stretch of this length or the next one
+    stretch = F.floor(F.col("published_at").cast("double") / (3600 * (p.window_hours + p.ahead_hours)))
+    near = articles.select("id", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    pairs = similar_pairs(vectors.join(near, "id"), p.threshold, ("stretch",)).drop("stretch").dropDuplicates(["a", "b"])
+    pairs = guard_entities(pairs, entities, p.high_cosine)
     when = windowed.select("edition_ts", "id")
     both = pairs.select("a", "b").join(when.withColumnRenamed("id", "a"), "a").join(when.withColumnRenamed("id", "b"), ["edition_ts", "b"])
     found = connected_components(both.select("edition_ts", "a", "b"), "edition_ts")

@@ -15,19 +15,16 @@ def term_freq(articles: DataFrame, stopwords, title_weight: int = 3, keys: tuple
     return articles.select(*keys, F.inline(both)).groupBy(*keys, "term").agg(F.sum("w").cast("long").alias("weight"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, group: tuple[str, ...] = (), df_cap: int | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, group: tuple[str, ...] = ()) -> DataFrame:
     """(group, a, b, similarity) of ids whose cosine reaches the threshold, within a group: an inverted index.
 
     Pairs meet on their rarest shared terms only: of a vector's terms in order of rarity, the prefix is kept beyond
     which the rest cannot reach the threshold alone (prefix filtering), so frequent terms make no candidates. The
-    exact cosine is then computed from the full vectors. df_cap, if given, leaves more frequent terms out of the
-    candidates (a trade of recall for work; off by default).
+    exact cosine is then computed from the full vectors.
     """
     key = [*group]
     norms = vectors.groupBy(*key, "id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     rarity = vectors.groupBy(*key, "term").agg(F.count("*").alias("df"))
-    if df_cap is not None:
-        rarity = rarity.where(F.col("df") <= df_cap)
     each = F.array_sort(F.collect_list(F.struct("df", "term", "weight")))  # one article's terms
     listed = vectors.join(rarity, [*key, "term"]).groupBy(*key, "id").agg(each.alias("terms")).join(norms, [*key, "id"])
     # what is left after position i, as a share of the norm, must be able to reach the threshold
