@@ -96,12 +96,20 @@ def resolve(pool: DataFrame, cache: DataFrame, responses: DataFrame, fallback: D
     return rows.select(*keys, "rank", "status", "request_rank", *[chosen[c].alias(c) for c in FIELDS])
 
 
+def newest(cache: DataFrame) -> DataFrame:
+    """The newest summary of each slug."""
+    return cache.groupBy("slug").agg(F.max_by(F.struct(*FIELDS, "cached_at"), "cached_at").alias("row")).select("slug", "row.*")
+
+
+def generated(resolved: DataFrame, now: Column) -> DataFrame:
+    """What a run adds to the cache."""
+    return resolved.where("status = 'generated'").select("slug", *FIELDS, now.alias("cached_at"))
+
+
 def next_cache(cache: DataFrame, resolved: DataFrame, now: Column, p: SummaryParams = SummaryParams()) -> DataFrame:
     """The cache after a run: generated summaries over the old ones, the newest of each slug, pruned."""
-    new = resolved.where("status = 'generated'").select("slug", *FIELDS, now.alias("cached_at"))
-    both = cache.select("slug", *FIELDS, "cached_at").unionByName(new)
-    newest = both.groupBy("slug").agg(F.max_by(F.struct(*FIELDS, "cached_at"), "cached_at").alias("row")).select("slug", "row.*")
-    return prune_cache(newest, now, p.prune_hours)
+    both = cache.select("slug", *FIELDS, "cached_at").unionByName(generated(resolved, now))
+    return prune_cache(newest(both), now, p.prune_hours)
 
 
 def prune_cache(cache: DataFrame, now: Column, hours: int = 72) -> DataFrame:

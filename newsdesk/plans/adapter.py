@@ -7,6 +7,10 @@ twins.py says the same in SQL.
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from newsdesk.functions import dates, text
 from newsdesk.operators import articles as art
 from newsdesk.operators import editions
 from newsdesk.params import Lexicon
+from newsdesk.shared import shared_dir
 
 LEXICON = Lexicon(
     standalone=("ention", "eeau", "elle"),
@@ -25,6 +30,29 @@ CATEGORIES = ("Enchente", "Acidente de trânsito", "Geral", "Incêndio", " ")
 START = 1704067200  # 2024-01-01
 
 
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def start() -> None:
+    """A query begins: nothing is kept from the one before."""
+    _kept.clear()
+
+
+def kept(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Within a query, a table that many branches read is computed once and written to the shared folder."""
+
+    @functools.wraps(make)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (make.__name__, sf_dir)
+        if key not in _kept:
+            rows, at = make(spark, sf_dir), f"{shared_dir(spark)}/news-{uuid.uuid4().hex}/{make.__name__}"
+            rows.write.option("compression", "zstd").parquet(at)
+            _kept[key] = spark.read.schema(rows.schema).parquet(at)
+        return _kept[key]
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,8 +61,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of few files may be read by one task alone; its rows go to all cores before work on their texts."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * len(rows.inputFiles()) < cores else rows
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items_of(documents(spark, sf_dir))
+    return items_of(spread(documents(spark, sf_dir)))
 
 
 def items_of(docs: DataFrame) -> DataFrame:
@@ -65,6 +99,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return art.items_to_articles(items(spark, sf_dir))
 
 
+@kept
 def firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return art.dedupe_by_url(articles(spark, sf_dir))
 
@@ -106,6 +141,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.unionByName(again).withColumn("rank", F.row_number().over(order)).drop("n")
 
 
+@kept
 def edition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edition rows of all days; the last day is current."""
     rows = editions.edition_rows(stories(spark, sf_dir), "date")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -28,10 +29,15 @@ def query(sql: str | None = None, chain: bool = True):
     """Registers a function under its name, and its twin."""
 
     def keep(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            adapter.start()
+            return f(spark, sf)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = (twins.CHAIN if chain else "") + sql
-        return f
+        return run
 
     return keep
 
@@ -208,7 +214,25 @@ def cluster_greedy(spark, sf):
     return found.select(stamp("edition_ts").alias("edition_ts"), "id", "cluster_seq", "member_rank")
 
 
-@query()
+@query(
+    _WINDOWS.format("niche") + _TERMS.format("niche") + f""", norms AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM terms GROUP BY id), dots AS (
+  SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) AS dot FROM terms x JOIN terms y ON x.term = y.term AND x.id < y.id GROUP BY ALL
+), close AS (
+  SELECT a, b, dot / (m.norm * n.norm) AS similarity FROM dots JOIN norms m ON m.id = a JOIN norms n ON n.id = b WHERE dot / (m.norm * n.norm) >= 0.30 - 1e-12
+), names AS (SELECT id, {twins.entities('title')} AS e FROM niche
+), linked AS (
+  SELECT a, b FROM close JOIN names x ON x.id = a JOIN names y ON y.id = b WHERE similarity >= 0.50 OR len(x.e) = 0 OR len(y.e) = 0 OR list_has_any(x.e, y.e)
+), known AS (SELECT DISTINCT w.edition_ts, w.id FROM wins w JOIN norms USING (id)
+), edges AS (
+  SELECT m.edition_ts, a, b FROM linked JOIN known m ON m.id = a JOIN known n ON n.id = b AND n.edition_ts = m.edition_ts
+  UNION ALL SELECT m.edition_ts, b, a FROM linked JOIN known m ON m.id = a JOIN known n ON n.id = b AND n.edition_ts = m.edition_ts
+), reach(edition_ts, id, component) USING KEY (edition_ts, id) AS (
+  SELECT edition_ts, id, id FROM known
+  UNION
+  SELECT e.edition_ts, e.b, min(r.component) FROM reach r JOIN edges e ON e.edition_ts = r.edition_ts AND e.a = r.id
+  JOIN recurring.reach old ON old.edition_ts = e.edition_ts AND old.id = e.b WHERE r.component < old.component GROUP BY e.edition_ts, e.b)
+SELECT {twins.stamp('edition_ts')} AS edition_ts, id, component FROM reach"""
+)
 def cluster_components(spark, sf):
     return clusters.cluster_components(_windowed(spark, sf), LEXICON).select(stamp("edition_ts").alias("edition_ts"), "id", "component")
 
@@ -246,7 +270,7 @@ _SCORED = """, stats AS (SELECT date, bucket, count(DISTINCT source) AS source_c
 
 @query(
     _SCORED + f"""SELECT date::VARCHAR AS date, bucket, round(score, 6) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, bucket) AS rank FROM scored) WHERE rank <= {RankParams().home // 2}"""
+  SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, bucket) AS rank FROM scored) WHERE rank <= {RankParams().pool}"""
 )
 def scored_pool(spark, sf):
     stats = clusters.cluster_stats(adapter.members(spark, sf), _KEYS)
@@ -574,7 +598,13 @@ _UNKNOWN = lambda names, corpus: (
     f"list_filter({names}, lambda e: NOT contains({corpus}, e) AND NOT list_contains({twins.listed(LEXICON.generic + LEXICON.editorial_generic)}, e) "
     f"AND NOT regexp_matches(e, '[0-9]') AND NOT (e LIKE '%s' AND list_contains({twins.listed(LEXICON.generic + LEXICON.editorial_generic)}, e[:-2])))"
 )
-_INTRO = f"""SELECT doc_id, {twins.trim(twins.squeeze('text'))} AS intro, {twins.fold_plain('substr(text, 1, 400)')} AS corpus FROM raw"""
+_ADDED = " Flávio Marqueteiro Joaquim Nogueira Zuleide Pontes"  # invented names for every third text
+_INTRO = f"""SELECT doc_id, {twins.trim(twins.squeeze(f"text || CASE WHEN doc_id % 3 = 0 THEN '{_ADDED}' ELSE '' END"))} AS intro, {twins.fold_plain('text')} AS corpus FROM raw"""
+
+
+def _intros(spark, sf) -> DataFrame:
+    said = F.concat("text", F.when(F.col("doc_id") % 3 == 0, _ADDED).otherwise(""))
+    return adapter.spread(adapter.documents(spark, sf)).select("doc_id", said.alias("intro"), text.fold_plain(F.col("text")).alias("corpus"))
 
 
 @query(
@@ -583,8 +613,7 @@ SELECT doc_id, unknown_count, CASE WHEN length(intro) < 80 THEN 'too short' WHEN
   CASE WHEN length(intro) > 600 THEN regexp_replace(substr(intro, 1, 600), '\\s+\\S*$', '') || '…' ELSE intro END AS intro FROM u"""
 )
 def validate_intros(spark, sf):
-    rows = adapter.documents(spark, sf).select("doc_id", F.col("text").alias("intro"), text.fold_plain(F.substring("text", 1, 400)).alias("corpus"))
-    return editorial.validate_intro(rows, 4, LEXICON).select("doc_id", "unknown_count", "reason", "intro")
+    return editorial.validate_intro(_intros(spark, sf), 4, LEXICON).select("doc_id", "unknown_count", "reason", "intro")
 
 
 # Editorials
@@ -600,7 +629,7 @@ def category_distribution(spark, sf):
 
 @query(f", i AS ({_INTRO}) SELECT doc_id, array_to_string(list_sort({_UNKNOWN(twins.entities('intro'), 'corpus')}), '|') AS names FROM i")
 def editorial_unknown_names(spark, sf):
-    rows = adapter.documents(spark, sf).select("doc_id", text.trim(text.squeeze(F.col("text"))).alias("intro"), text.fold_plain(F.substring("text", 1, 400)).alias("corpus"))
+    rows = _intros(spark, sf).withColumn("intro", text.trim(text.squeeze(F.col("intro"))))
     return rows.select("doc_id", joined(F.sort_array(editorial.unknown_entities(F.array("intro"), F.col("corpus"), LEXICON))).alias("names"))
 
 
@@ -698,8 +727,9 @@ def json_ld(spark, sf):
 
 
 @query(
-    f"""SELECT 'category' AS kind, '{SITE.url}/' || section || '/' AS loc, substr('Notícias de ' || arg_max(section_label, date), 1, 160) AS description, false AS noindex FROM rows WHERE section <> 'home' GROUP BY section
+    _TOPICS + f"""SELECT 'category' AS kind, '{SITE.url}/' || section || '/' AS loc, substr('Notícias de ' || arg_max(section_label, date), 1, 160) AS description, false AS noindex FROM rows WHERE section <> 'home' GROUP BY section
 UNION ALL SELECT 'story', '{SITE.url}/noticia/' || slug || '/', substr(resumo, 1, 200), false FROM catalog
+UNION ALL SELECT 'topic', '{SITE.url}/tema/' || slug || '/', substr('Tudo sobre ' || label, 1, 160), n_stories < 4 FROM topics
 UNION ALL SELECT 'edition', '{SITE.url}/edicao/' || date || '/', 'Edição de ' || {twins.date_label('date')}, false FROM (SELECT DISTINCT date FROM rows)
 UNION ALL SELECT 'editorial', '{SITE.url}/editorial/' || date || '/', 'Linha fina', false FROM (SELECT DISTINCT date FROM rows)
 UNION ALL SELECT 'home', '{SITE.url}/', '{SITE.description}', false"""
@@ -745,12 +775,13 @@ _TAGS = "CASE WHEN length(split_part(categoria_slug, '-', 1)) >= 3 AND split_par
 @query(
     f""", s AS (SELECT slug, titulo, {_TAGS} AS tags FROM catalog), l AS (SELECT *, array_to_string(list_transform(tags, lambda t: '#' || t), ' ') AS line FROM s
 ), p AS (SELECT *, CASE WHEN length(titulo) > 295 - length(line) THEN substr(titulo, 1, 294 - length(line)) || '…' ELSE titulo END || chr(10) || chr(10) || line AS bluesky FROM l)
-SELECT slug, array_to_string(tags, '|') AS tags, bluesky, strlen(split_part(bluesky, '#' || tags[1], 1)) AS first_byte,
+SELECT slug, array_to_string(tags, '|') AS tags, bluesky, array_to_string(list_transform(range(1, len(tags) + 1), lambda i: (strlen(bluesky) - strlen(array_to_string(list_transform(tags[i:], lambda t: '#' || t), ' '))) || '-' ||
+    (strlen(bluesky) - strlen(array_to_string(list_transform(tags[i:], lambda t: '#' || t), ' ')) + strlen(tags[i]) + 1) || ' ' || tags[i]), '|') AS facets,
   CASE WHEN length(titulo) > 380 THEN substr(titulo, 1, 379) || '…' ELSE titulo END || chr(10) || chr(10) || '{SITE.url}/noticia/' || slug || '/' || chr(10) || chr(10) || line AS mastodon FROM p"""
 )
 def social_text(spark, sf):
     rows = publish.social_text(_catalog(spark, sf), SITE)
-    return rows.select("slug", joined("tags").alias("tags"), "bluesky", F.get(F.col("facets"), F.lit(0))["byte_start"].cast("long").alias("first_byte"), "mastodon")
+    return rows.select("slug", joined("tags").alias("tags"), "bluesky", joined(F.transform("facets", lambda f: F.concat(f["byte_start"].cast("string"), F.lit("-"), f["byte_end"].cast("string"), F.lit(" "), f["tag"]))).alias("facets"), "mastodon")
 
 
 # Streams

@@ -74,7 +74,7 @@ def caption_steps(x: str, p: str) -> str:
     """Select items for stripping a caption; {p} is the result. The engine has no look-ahead, so a group leaves it out."""
     steps, tries = [], []
     for k, end in enumerate(CAPTION_ENDS):
-        pattern = rf"(\s+{end}\s+)[A-ZÀ-Ý][a-zà-ÿ]"
+        pattern = "(" + end.removesuffix(")").replace("(?=", ")")
         a, f, b = f"{p}at{k}", f"{p}f{k}", f"{p}b{k}"
         steps.append(f"regexp_extract({x}, {q(pattern)}, 1) AS {f}")
         steps.append(f"strpos({x}, regexp_extract({x}, {q(pattern)}, 0)) - 1 AS {a}")
@@ -144,7 +144,7 @@ def normal_url(x: str) -> str:
 
 CATEGORY = f"{listed(CATEGORIES)}[(item_rank % 5 + 1)::INT]"
 
-CHAIN = rf"""WITH raw AS (
+CHAIN = rf"""WITH RECURSIVE raw AS (
   SELECT doc_id, coalesce(text, '') AS text, source, lang,
          TIMESTAMP '2024-01-01' + to_minutes(5 * doc_id) AS pub, TIMESTAMP '2024-01-01 00:10:00' + to_minutes(5 * doc_id) AS fetched_at
   FROM documents

@@ -6,5 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own where it is unset, as in tests."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/newsdesk").rstrip("/")
+    """spark.checkpoint.dir; where it is unset, a folder of our own in local mode, else an error."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (at or "/tmp/checkpoints/newsdesk").rstrip("/")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.operators.articles import items_to_articles
+from newsdesk.operators import summaries
+from newsdesk.operators.articles import dedupe_by_url, items_to_articles
+from newsdesk.operators.build import build, last_of_day
+from newsdesk.params import Params
+from newsdesk.sources.archive import read_or_empty, write_editions
+
+ddl = lambda rows: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+CACHE = "slug string, titulo string, resumo string, por_que_importa string, categoria string, cached_at timestamp"
 
 
 def stream_articles(items: DataFrame, window: str = "48 hours", ahead_hours: int = 1) -> DataFrame:
@@ -27,6 +35,33 @@ def sliding_volume(articles: DataFrame, length: str = "48 hours", step: str = "4
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "source", "n")
 
 
+def edition_builder(articles_path: str, editions_path: str, state_path: str, responses: Callable[[DataFrame], DataFrame], p: Params = Params()) -> Callable[[DataFrame, int], None]:
+    """A `build` for start_editions(). Each batch's articles join the store; the editions from the first that one of them
+    reaches are built from all articles in their windows and replace those days in the archive; generated summaries
+    join the state. Store and state are written under the batch's number, so a batch that is run again changes nothing.
+
+    responses: from articles to (slug, summary fields).
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark, step = batch.sparkSession, 3600 * p.cluster.every_hours
+        keep = lambda rows, path: rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        keep(batch, articles_path)
+        store = spark.read.schema(f"{ddl(batch)}, batch long").parquet(articles_path).where(F.col("batch") <= number)
+        oldest = store.where(F.col("batch") == number).agg(F.min(F.col("published_at").cast("double"))).first()[0]  # one value
+        if oldest is None:
+            return
+        first = math.ceil((oldest - 3600 * p.cluster.ahead_hours) / step) * step
+        at = F.col("published_at").cast("double")
+        known = dedupe_by_url(store.where(at >= first - 3600 * p.cluster.window_hours).drop("batch"))
+        state = read_or_empty(spark, state_path, f"{CACHE}, batch long").where(F.col("batch") < number).drop("batch")
+        found = build(known, summaries.newest(state), responses(known), p, first)
+        write_editions(last_of_day(found.rows), editions_path)
+        keep(summaries.newest(summaries.generated(found.resolved, F.col("edition_ts"))), state_path)
+
+    return run
+
+
 def start_editions(articles: DataFrame, build: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs `build` on each micro-batch of whatever has arrived, then stops. `build` must be idempotent: write editions
     with write_editions() and the cache keyed by slug."""
