@@ -9,6 +9,7 @@ from newsdesk.functions.text import trim
 
 # Query parameters that only track, any case.
 TRACKING = r"(?i)^(utm_.*|fbclid|gclid|igshid|mc_.*|ref|ref_.*|spm|_ga|cmpid|xtor|s_cid)$"
+ODD = r"[^\x21-\x7E]|[\"<>`{}]"
 URL = r"(?i)^(https?):/*([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -16,18 +17,24 @@ def _part(c: Column, group: int) -> Column:
     return F.regexp_extract(c, f"(?s){URL}", group)
 
 
+def _encoded_path(c: Column) -> Column:
+    """A path with the characters that URLs don't hold as they are percent-encoded (UTF-8); what is encoded stays so."""
+    one = lambda x: F.when(x.rlike(ODD), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)
+    return F.when(c.rlike(ODD), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+
+
 def normalize_url(raw: Column) -> Column:
     """https, host in lower case without one leading www., no fragment, no tracking parameters, no trailing slash.
 
     A repeated parameter keeps its first place and its last value. What is no http(s) URL is returned trimmed.
-    Internationalised host names and percent-encoding in paths are left as they are.
+    Paths are percent-encoded; internationalised host names are left as they are.
     """
     c = trim(raw)
     authority = _part(c, 2)
     user = F.regexp_extract(authority, r"^(.*@)?", 1)
     host = F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@", "")), r"^www\.", "")
     host = F.regexp_replace(host, F.when(F.lower(_part(c, 1)) == "http", F.lit(r":(80|443)?$")).otherwise(F.lit(r":(443)?$")), F.lit(""))
-    path = F.regexp_replace(_part(c, 3), r"/$", "")
+    path = F.regexp_replace(_encoded_path(_part(c, 3)), r"/$", "")
     path = F.when(path == "", F.lit("/")).otherwise(path)
     given = F.filter(F.split(F.substring(_part(c, 4), 2, 1 << 30), "&"), lambda p: p != "")
     plain = lambda x: F.coalesce(F.try_url_decode(x), x)

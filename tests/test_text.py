@@ -21,6 +21,8 @@ def test_normalize_url(spark):
         "https://site.com/p?q=a%20b~*&z=%zz": "https://site.com/p?q=a+b%7E*&z=%25zz",
         "https://site.com": "https://site.com/",
     }
+    cases["https://x.com/notícia/a b\"<c>/{d}/%C3%A9/"] = "https://x.com/not%C3%ADcia/a%20b%22%3Cc%3E/%7Bd%7D/%C3%A9"
+    cases["https://x.com/a/😀"] = "https://x.com/a/%F0%9F%98%80"
     assert values(spark, normalize_url(F.col("x")), list(cases)) == list(cases.values())
     a, b, n = values(spark, article_id(F.col("x")), ["http://www.a.com/n/?ref=1", "https://a.com/n", None])
     assert a == b and len(a) == 16 and n is None
