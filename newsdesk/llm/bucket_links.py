@@ -35,8 +35,9 @@ class Similarity:
         """Rows at which the two matrices (or one row and a matrix) may belong to a link."""
         raise NotImplementedError
 
-    def linked(self, one: list, other: list, apart: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each of `one`, the rows of `other` that are linked with it; apart[i, j] says which pairs matter."""
+    def linked(self, sides: list[tuple[list, list, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """For groups of (one, other, apart): the group, the row of `one` and the rows of `other` that are linked with it;
+        apart[i, j] says which pairs matter."""
         raise NotImplementedError
 
 
@@ -77,18 +78,19 @@ def _links(kind: Similarity):
         for rows in groups(batches, ["leader", "left", "right"]):
             label, node = rows.column("label").to_numpy(), rows.column("node").to_numpy()
             payload = rows.column("payload").combine_chunks() if isinstance(rows.column("payload"), pa.ChunkedArray) else rows.column("payload")
+            members, sides, a, b = [], [], [], []
             for one, other in _sides(rows):
                 apart = label[one][:, None] != label[other][None]
                 some = other[apart.any(axis=0)]
-                apart = apart[:, apart.any(axis=0)]
-                left, right = (_values(payload.take(pa.array(x))) for x in (one, some))
-                a, b = [], []
-                for i, found in kind.linked(left, right, apart):
-                    first = found[np.unique(label[some[found]], return_index=True)[1]]
-                    a.append(np.full(len(first), node[one[i]]))
-                    b.append(node[some[first]])
-                if a:
-                    yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                members.append((one, some))
+                sides.append((*(_values(payload.take(pa.array(x))) for x in (one, some)), apart[:, apart.any(axis=0)]))
+            for g, i, found in kind.linked(sides):
+                one, some = members[g]
+                first = found[np.unique(label[some[found]], return_index=True)[1]]
+                a.append(np.full(len(first), node[one[i]]))
+                b.append(node[some[first]])
+            if a:
+                yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 

@@ -105,11 +105,21 @@ def summaries(lines: list[str]) -> np.ndarray:
     return np.bincount(owner * CELLS + cell, minlength=len(lines) * CELLS).reshape(-1, CELLS).astype(np.uint8)
 
 
+def _padded(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, pad: int, before: int = 0, backwards: bool = False) -> np.ndarray:
+    """(lines, width) code points, each line from column `before` on, or from its end."""
+    rows = np.full((len(sizes), width), pad, np.int32)
+    at = ranges(np.zeros(len(sizes), np.int64), sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rows[owner, before + (sizes[owner] - 1 - at if backwards else at)] = codes[ranges(starts, sizes)]
+    return rows
+
+
 def within(left: list[str], right: list[str], tau: int) -> np.ndarray:
     """Whether each pair is within tau edits.
 
-    Bit k of the vectors is diagonal k - tau of the band. The tracked diagonal ends in the last cell, and its
-    values never fall, so a pair leaves when it is past tau.
+    What both lines begin and end with is taken off first, which doesn't change their distance. Bit k of the vectors is
+    diagonal k - tau of the band. The tracked diagonal ends in the last cell, and its values never fall, so a pair
+    leaves when it is past tau.
     """
     ok = np.zeros(len(left), bool)
     swapped = [(b, a) if len(a) < len(b) else (a, b) for a, b in zip(left, right, strict=True)]
@@ -124,10 +134,14 @@ def within(left: list[str], right: list[str], tau: int) -> np.ndarray:
         at = to
         one, n = codes_of([swapped[k][0] for k in chosen])
         other, m = codes_of([swapped[k][1] for k in chosen])
+        starts = [np.cumsum(x) - x for x in (n, m)]
+        width = int(n.max()) + 1
+        begin, end = ((_padded(one, starts[0], n, width, -1, 0, x) != _padded(other, starts[1], m, width, -2, 0, x)).argmax(axis=1) for x in (False, True))
+        end = np.minimum(end, m - begin)
+        n, m = n - begin - end, m - begin - end
         width = int(n.max()) + 2 * tau + 1
-        a, b = np.full((width, len(chosen)), -1, np.int32), np.full((width, len(chosen)), -2, np.int32)
-        a[tau + ranges(np.zeros(len(n), np.int64), n), np.repeat(np.arange(len(chosen)), n)] = one
-        b[ranges(np.zeros(len(m), np.int64), m), np.repeat(np.arange(len(chosen)), m)] = other
+        a = np.ascontiguousarray(_padded(one, starts[0] + begin, n, width, -1, tau).T)
+        b = np.ascontiguousarray(_padded(other, starts[1] + begin, m, width, -2).T)
         mask = bits((1 << (2 * tau + 1)) - 1)
         plus = np.full(len(chosen), mask & ~bits((1 << tau) - 1), bits)
         minus = np.zeros(len(chosen), bits)
@@ -143,15 +157,15 @@ def within(left: list[str], right: list[str], tau: int) -> np.ndarray:
             distance += (j < m) & ((same >> mark) & bits(1) == 0)
             same = (same & mask) >> bits(1)
             plus, minus = (down | ~(same | up)) & mask, up & same
-            if j % 16 == 15 or j + 1 == int(m.max()):
+            if j % 8 == 7:
                 ok[chosen[(m <= j + 1) & (distance <= tau)]] = True
                 stay = (m > j + 1) & (distance <= tau)
                 if 4 * stay.sum() < 3 * len(stay):
-                    if not stay.any():
-                        break
                     a, b = a[:, stay], b[:, stay]
                     plus, minus, distance, mark, m, chosen = (x[stay] for x in (plus, minus, distance, mark, m, chosen))
-        ok[chosen[(m == 0) & (distance <= tau)]] = True
+                    if not len(chosen):
+                        break
+        ok[chosen[distance <= tau]] = True
     return ok
 
 
@@ -193,15 +207,28 @@ class Edits(Similarity):
     def plausible(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.abs((one - other).astype(np.int64)).sum(axis=1) <= 2 * self.tau)
 
-    def linked(self, one: list, other: list, apart: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The plausible pairs of many lines are verified together: within() works on them in step."""
-        a, b = summaries(one).view(np.int8), summaries(other).view(np.int8)
-        for at in range(0, len(one), 64):
-            off = np.abs(a[at : at + 64, None] - b[None]).view(np.uint8).sum(axis=2, dtype=np.uint16)
-            left, right = np.nonzero((off <= 2 * self.tau) & apart[at : at + 64])
-            ok = within([one[at + x] for x in left.tolist()], [other[x] for x in right.tolist()], self.tau)
-            left, right = left[ok], right[ok]
-            yield from ((at + int(x), right[left == x]) for x in np.unique(left))
+    def linked(self, sides: list[tuple[list, list, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The plausible pairs of all groups are verified together: within() works on them in step."""
+        left, right, places = [], [], []
+        for g, (one, other, apart) in enumerate(sides):
+            a, b = summaries(one).view(np.int8), summaries(other).view(np.int8)
+            for at in range(0, len(one), 64):
+                off = np.abs(a[at : at + 64, None] - b[None]).view(np.uint8).sum(axis=2, dtype=np.uint16)
+                x, y = np.nonzero((off <= 2 * self.tau) & apart[at : at + 64])
+                left += [one[at + i] for i in x.tolist()]
+                right += [other[i] for i in y.tolist()]
+                places.append(np.stack([np.full(len(x), g), at + x, y]))
+                if len(left) > 1 << 16:
+                    yield from self._verified(left, right, places)
+                    left, right, places = [], [], []
+        if left:
+            yield from self._verified(left, right, places)
+
+    def _verified(self, left: list, right: list, places: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+        g, i, j = np.concatenate(places, axis=1)[:, within(left, right, self.tau)]
+        cuts = np.flatnonzero((np.diff(g, prepend=-1) != 0) | (np.diff(i, prepend=-1) != 0))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(g)], strict=False):
+            yield int(g[a]), int(i[a]), j[a:b]
 
 
 class LineLinks(BucketLinks):

@@ -114,20 +114,21 @@ class Jaccard(Similarity):
             alive = alive[matches[alive] >= least]
         return alive
 
-    def linked(self, one: list, other: list, apart: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Shared shingles of one set with all others at a time: a lookup table and a sum by set."""
-        words, place = np.unique(np.concatenate(other), return_inverse=True)
-        sizes = np.array([len(x) for x in other])
-        starts = np.cumsum(sizes) - sizes
-        for i, own in enumerate(one):
-            at = np.searchsorted(words, own)
-            at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]
-            has = np.zeros(len(words), bool)
-            has[at] = True
-            shared = np.add.reduceat(has[place], starts, dtype=np.int64)
-            found = np.flatnonzero((100 * shared >= self.percent * (len(own) + sizes - shared)) & apart[i])
-            if len(found):
-                yield i, found
+    def linked(self, sides: list[tuple[list, list, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Shared shingles of one set with all others of its group at a time: a lookup table and a sum by set."""
+        for g, (one, other, apart) in enumerate(sides):
+            words, place = np.unique(np.concatenate(other), return_inverse=True)
+            sizes = np.array([len(x) for x in other])
+            starts = np.cumsum(sizes) - sizes
+            for i, own in enumerate(one):
+                at = np.searchsorted(words, own)
+                at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]
+                has = np.zeros(len(words), bool)
+                has[at] = True
+                shared = np.add.reduceat(has[place], starts, dtype=np.int64)
+                found = np.flatnonzero((100 * shared >= self.percent * (len(own) + sizes - shared)) & apart[i])
+                if len(found):
+                    yield g, i, found
 
 
 def _sets(size: int):
