@@ -130,6 +130,7 @@ class BucketLinks:
 
     def components(self, members: DataFrame) -> DataFrame:
         """(node, component) of the nodes that have a link; members: written (leader, node) with node != leader."""
+        before = self.scratch.n
         stars = members.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
         tested = self.scratch.write(self.pruned(stars), "pairs")
         found = self.scratch.write(components(self.verified(tested), self.scratch), "components")
@@ -143,7 +144,9 @@ class BucketLinks:
         nodes = self.scratch.write(hit.select("node").distinct(), "nodes")
         links = self.dealt(hit).join(self.payloads(nodes), "node")
         links = self.scratch.write(self.in_groups(links, "payload").mapInArrow(_links(self.kind), "a long, b long").distinct(), "links")
-        return self.scratch.write(joined_components(found, links, self.scratch), "components")
+        joined = self.scratch.write(joined_components(found, links, self.scratch), "components")
+        self.scratch.drop_since(before, joined)
+        return joined
 
     def dealt(self, rows: DataFrame) -> DataFrame:
         """(leader, left, right, is_left, node, label): the two sides of each leader's written rows (leader, node, label), in blocks."""

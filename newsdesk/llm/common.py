@@ -50,6 +50,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.there: dict[int, DataFrame] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -57,6 +58,7 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out.scratch_path = at
+        self.there[self.n] = out
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
@@ -64,6 +66,13 @@ class Scratch:
         for df in dfs:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gone = {df.scratch_path for df in dfs}
+        self.there = {n: df for n, df in self.there.items() if df.scratch_path not in gone}
+
+    def drop_since(self, n: int, *keep: DataFrame) -> None:
+        """Delete what was written after the first `n` tables, but for those that later steps read."""
+        stay = {df.scratch_path for df in keep}
+        self.drop(*[df for k, df in self.there.items() if k > n and df.scratch_path not in stay])
 
 
 def with_fields(rows: DataFrame, more: str, without: tuple[str, ...] = ()) -> T.StructType:

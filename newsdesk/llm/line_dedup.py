@@ -274,13 +274,18 @@ def duplicate_lines(docs: DataFrame, tau: int = 2) -> DataFrame:
     alike = scratch.write(alike.withColumn("node", F.monotonically_increasing_id()), "lines")
     links = LineLinks(scratch, alike.select("node", "line"), tau)
     found = links.components(links.members())
-    named = alike.select("node", "h1", "h2", "first", "times").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("times").alias("all"))
-    lookup = named.join(firsts, "component").where(F.col("all") > 1).select("h1", "h2", "stays", "times")
+    # only lines that are not alone: those in a component, and those that occur again
+    named = alike.select("node", "h1", "h2", "first", "times").join(found, "node", "left").where("component is not null or times > 1")
+    named = scratch.write(named.withColumn("component", F.coalesce("component", "node")), "named")
+    firsts = scratch.write(named.groupBy("component").agg(F.min("first").alias("stays"), F.count("*").alias("size")), "firsts")
+    lookup = skew_join(named, firsts, ["component"], "size", named.count()).select("h1", "h2", F.col("found.stays").alias("stays"), "times")
+    lookup = scratch.write(lookup, "lookup")
     each = lines.select("d", "text_hash", "at", *keys)
     rows = skew_join(each, lookup, ["h1", "h2"], "times", int(alike.agg(F.sum("times")).first()[0] or 0))
     gone = rows.where(F.col("found").isNotNull() & (place != F.col("found.stays")))
-    return scratch.write(gone.groupBy("d", "text_hash").agg(F.collect_set(F.struct("at", "h1")).alias("gone")), "gone")
+    gone = scratch.write(gone.groupBy("d", "text_hash").agg(F.collect_set(F.struct("at", "h1")).alias("gone")), "gone")
+    scratch.drop_since(0, gone)
+    return gone
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -187,9 +187,10 @@ class NearDuplicates(BucketLinks):
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept, h), one row per row of the input; h is xxhash64 of its text."""
         found = self.classes.select("k1", "k2", "rep", "n", "node").join(self.components(self.members()), "node", "left")
-        found = found.withColumn("component", F.coalesce("component", "node"))
-        least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
-        lookup = found.join(least, "component").select("k1", "k2", "n", "component_id")
+        found = self.scratch.write(found.withColumn("component", F.coalesce("component", "node")), "found")
+        least = self.scratch.write(found.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "least")
+        named = skew_join(found, least, ["component"], "size", self.classes.count())
+        lookup = self.scratch.write(named.select("k1", "k2", "n", F.col("found.component_id").alias("component_id")), "lookup")
         rows = skew_join(self.rows.select("doc_id", "h", "n_shingles", "k1", "k2"), lookup, ["k1", "k2"], "n", self.rows.count())
         component = F.when(F.col("n_shingles") > 0, F.col("found.component_id")).otherwise(F.col("doc_id"))
         out = rows.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

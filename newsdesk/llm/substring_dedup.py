@@ -250,6 +250,7 @@ def marks(docs: DataFrame, scratch: Scratch, group_bytes: int = GROUP_BYTES) ->
 
     The hash of the text tells rows with one doc_id (or none) apart, so no group or join grows with their number.
     """
+    before = scratch.n
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("text_hash"), "text")
     kinds = "d long, text_hash long, n_words long, k1 long, k2 long, hashes array<long>, places array<long>"
     rows = scratch.write(texts.mapInArrow(_first, kinds), "rows")
@@ -279,7 +280,9 @@ def marks(docs: DataFrame, scratch: Scratch, group_bytes: int = GROUP_BYTES) ->
     copies = owned.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("d", "text_hash", "k1").distinct()
     empty = F.array().cast("array<struct<from:bigint,to:bigint>>")
     both = parts.select("d", "text_hash", "k1", "copy", "spans").unionByName(copies.select("d", "text_hash", "k1", F.lit(True).alias("copy"), empty.alias("spans")))
-    return scratch.write(both.groupBy("d", "text_hash").agg(F.collect_list(F.struct("k1", "copy", "spans")).alias("marks")), "marks")
+    found = scratch.write(both.groupBy("d", "text_hash").agg(F.collect_list(F.struct("k1", "copy", "spans")).alias("marks")), "marks")
+    scratch.drop_since(before, found)
+    return found
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
