@@ -100,4 +100,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop_since(0, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
