@@ -239,6 +239,9 @@ class LineLinks(BucketLinks):
         super().__init__(scratch, sigs, Edits(tau))
 
     def members(self) -> DataFrame:
+        return self.scratch.write(self.sharing(), "members")
+
+    def sharing(self) -> DataFrame:
         """(leader, node) of lines that share a bucket with an indexed one, the smallest of these.
 
         An entry is one number, twice the node plus 1 for an index entry. Both reads have the same filters below the
@@ -250,7 +253,7 @@ class LineLinks(BucketLinks):
         ends = met.groupBy("key").agg(leader.alias("leader"), F.min(node).alias("x"), F.max(node).alias("y"))
         ends = ends.where("leader is not null and x < y").select("key", "leader")
         both = met.join(ends.hint("shuffle_hash"), "key").select("leader", node.alias("node"))
-        return self.scratch.write(both.where("node != leader").distinct(), "members")
+        return both.where("node != leader").distinct()
 
     def payloads(self, nodes: DataFrame) -> DataFrame:
         return nodes.join(self.lines.select("node", F.col("line").alias("payload")), "node")

@@ -77,3 +77,31 @@ def test_tables_of_null_ids_stay_linear(spark):
     assert found.count() == 2000 and found.where("n_removed > 0").isEmpty()
     lines = line_dedup.remove_lines(docs)
     assert lines.count() == 2000
+
+
+def test_one_shuffle_of_line_entries(spark):
+    """Both reads of the entries take the same shuffle, so they are computed once."""
+    scratch = Scratch(spark, "test-entries")
+    lines = scratch.write(spark.range(3000).selectExpr("id AS node", "concat('line number ', id % 100, ' of ', id) AS line"), "lines")
+    found = line_dedup.LineLinks(scratch, lines, 2).sharing()
+    assert found.count() > 0
+    plan = found._jdf.queryExecution()
+    found.collect()
+    final = plan.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1 and final.count("MapInArrow") == 1, final
+
+
+def test_only_the_result_is_left(spark, tmp_path):
+    """Tables that no later step reads are deleted."""
+    import os
+
+    docs = spark.createDataFrame([(k, f"a line of text\nanother line {k % 3}") for k in range(30)], "doc_id long, text string")
+    made = []
+    old = Scratch.__init__
+    try:
+        Scratch.__init__ = lambda self, *a: (old(self, *a), made.append(self))[0]
+        line_dedup.duplicate_lines(docs)
+        substring_dedup.marks(docs, Scratch(spark, "test-left"))
+    finally:
+        Scratch.__init__ = old
+    assert [len(os.listdir(s.root)) for s in made] == [1, 1]
