@@ -150,24 +150,26 @@ def capitalised_runs(title: Column, connectors=CONNECTORS) -> Column:
     tail = rf"[{re.escape(PUNCTUATION)}]+$"
     raw = F.filter(F.split(title, f"{WS}+"), lambda t: t != "")
     clean = lambda t: F.regexp_replace(F.regexp_replace(t, tail, ""), r'^["“”(]+', "")
-    words = F.transform(raw, lambda t, i: F.struct(clean(t).alias("w"), F.regexp_replace(F.coalesce(F.get(raw, i + 1), F.lit("")), tail, "").alias("next")))
+    after = lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), tail, "")
+    words = F.zip_with(raw, F.slice(raw, 2, 1 << 30), lambda t, n: F.struct(clean(t).alias("w"), after(n).alias("next")))
+    # what is asked of a word is computed once
+    words = F.transform(words, lambda x: F.struct(x["w"].alias("w"), x["w"].rlike(proper).alias("proper"), slugify(x["w"]).isin(*connectors).alias("connects"), x["next"].rlike(proper).alias("goes_on")))
+    kind = "array<struct<w:string,connects:boolean>>"
 
     def step(acc: Column, x: Column) -> Column:
-        joins = slugify(x["w"]).isin(*connectors) & (F.size(acc["run"]) > 0) & x["next"].rlike(proper)
-        run = (
-            F.when(x["w"].rlike(proper), F.concat(acc["run"], F.array(x["w"])))
-            .when(joins, F.concat(acc["run"], F.array(F.lower(x["w"]))))
-            .otherwise(F.array().cast("array<string>"))
-        )
-        closes = ~x["w"].rlike(proper) & ~joins & (F.size(acc["run"]) > 0)
+        inside = F.size(acc["run"]) > 0
+        joins = x["connects"] & inside & x["goes_on"]
+        own = lambda w: F.array(F.struct(w.alias("w"), x["connects"].alias("connects")))
+        run = F.when(x["proper"], F.concat(acc["run"], own(x["w"]))).when(joins, F.concat(acc["run"], own(F.lower(x["w"])))).otherwise(F.array().cast(kind))
+        closes = ~x["proper"] & ~joins & inside
         out = F.when(closes, F.concat(acc["out"], F.array(acc["run"]))).otherwise(acc["out"])
         return F.struct(out.alias("out"), run.alias("run"))
 
-    start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<string>").alias("run"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.array().cast(kind).alias("run"))
     runs = F.aggregate(words, start, step, lambda a: F.when(F.size(a["run"]) > 0, F.concat(a["out"], F.array(a["run"]))).otherwise(a["out"]))
     ends = lambda run: F.aggregate(  # noqa: E731  connectors at the end go
         F.reverse(run),
         F.array().cast("array<string>"),
-        lambda kept, w: F.when((F.size(kept) == 0) & slugify(w).isin(*connectors), kept).otherwise(F.concat(F.array(w), kept)),
+        lambda kept, x: F.when((F.size(kept) == 0) & x["connects"], kept).otherwise(F.concat(F.array(x["w"]), kept)),
     )
     return F.transform(F.filter(F.transform(runs, ends), lambda r: F.size(r) > 0), lambda r: F.array_join(r, " "))

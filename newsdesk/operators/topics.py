@@ -19,10 +19,14 @@ def phenomena_in(title: Column, lexicon: Lexicon = Lexicon()) -> Column:
 def is_valid_topic(phrase: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """Distinctive: a word besides connectors, not a generic term, and four characters or more if it is one word."""
     words = F.transform(F.filter(F.split(phrase, f"{text.WS}+"), lambda w: w != ""), text.slugify)
-    telling = F.filter(words, lambda w: ~w.isin(*lexicon.connectors))
-    slug, one = text.slugify(phrase), F.get(telling, F.lit(0))
-    alone = (F.char_length(one) >= 4) & ~one.isin(*lexicon.generic)
-    return (F.size(telling) > 0) & (slug != "") & ~slug.isin(*lexicon.generic) & ((F.size(telling) > 1) | alone)
+    both = F.struct(F.filter(words, lambda w: ~w.isin(*lexicon.connectors)).alias("telling"), text.slugify(phrase).alias("slug"))
+
+    def holds(x: Column) -> Column:
+        telling, slug, one = x["telling"], x["slug"], F.get(x["telling"], F.lit(0))
+        alone = (F.char_length(one) >= 4) & ~one.isin(*lexicon.generic)
+        return (F.size(telling) > 0) & (slug != "") & ~slug.isin(*lexicon.generic) & ((F.size(telling) > 1) | alone)
+
+    return F.get(F.transform(F.array(both), holds), F.lit(0))  # so that both are computed once
 
 
 def topic_candidates(title: Column, lexicon: Lexicon = Lexicon()) -> Column:
