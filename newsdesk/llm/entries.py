@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsdesk.llm import chat_format, exact_dedup, language_id, line_dedup, media, near_dedup, packing, sentencepieces, substring_dedup, token_files
+from newsdesk.llm import chat_format, curriculum, exact_dedup, language_id, line_dedup, media, near_dedup, packing, sentencepieces, substring_dedup, token_files
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.op1_sentencepiece,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
     "op10_token_files": token_files.op10_token_files,
+    "op13_source_mix": curriculum.op13_source_mix,
 }
 ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_chat_formatting": chat_format.ORACLE,
+    "op13_source_mix": curriculum.ORACLE,
 }
