@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsdesk.llm import chat_format, curriculum, exact_dedup, language_id, line_dedup, media, near_dedup, packing, sentencepieces, substring_dedup, token_files
+from newsdesk.llm import chat_format, conversation_repair, curriculum, exact_dedup, hard_negatives, language_id, line_dedup, media, near_dedup, packing, sentencepieces, substring_dedup, token_files
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.op1_sentencepiece,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
     "op10_token_files": token_files.op10_token_files,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_source_mix": curriculum.op13_source_mix,
 }
 ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_chat_formatting": chat_format.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_source_mix": curriculum.ORACLE,
 }
