@@ -31,10 +31,10 @@ def pool_members(articles: DataFrame, p: Params = Params(), first: float | None
     """Articles of the ranked clusters of every run instant, from `first` (in seconds) on if given: the article, edition_ts, cluster_seq, member_rank, is_anchor,
     slug, rank and the cluster's stats. Clusters with equal scores go in the order they were begun."""
     niche = checkpoint(art.with_niche_flags(art.filter_niche(articles, p.lexicon), p.lexicon))
-    windowed = clusters.explode_windows(niche, p.cluster)
+    windowed = clusters.windows_of(niche, p.cluster)
     if first is not None:
         windowed = windowed.where(F.col("edition_ts").cast("double") >= first)
-    labels = checkpoint(clusters.cluster_greedy(windowed, p.lexicon, p.cluster))
+    labels = checkpoint(clusters.cluster_greedy(niche, windowed, p.lexicon, p.cluster))
     found = labels.join(niche, "id")
     stats = clusters.cluster_stats(found, _CLUSTER)
     stats = stats.withColumn("score", F.round(ranking.score(F.col("edition_ts"), p.rank), 9))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.functions import text
 from newsdesk.operators.graph import checkpoint, connected_components
+from newsdesk.operators.greedy import greedy_in_waves, greedy_whole
 from newsdesk.operators.vectors import guard_entities, similar_pairs, term_freq
 from newsdesk.params import ClusterParams, Lexicon
 
@@ -23,113 +23,46 @@ def explode_windows(articles: DataFrame, p: ClusterParams = ClusterParams()) ->
     )
 
 
-def _greedy(p: ClusterParams):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Newest first, each article joins the most similar group (cosine with the sum of its members' vectors).
-
-        An inverted index from term to groups gives all dot products of an article in one pass over its terms.
-        """
-        pdf = pdf.sort_values(["published_at", "ingest"], ascending=[False, True], kind="stable")
-        sums: list[dict] = []
-        squares: list[float] = []
-        names: list[set] = []
-        postings: dict[str, set[int]] = {}
-        label = []
-        for terms, weights, entities in zip(pdf["terms"], pdf["weights"], pdf["entities"], strict=True):
-            vec = dict(zip(terms, (float(w) for w in weights), strict=True))
-            norm = sum(w * w for w in vec.values()) ** 0.5
-            dots: dict[int, float] = {}
-            for t, w in vec.items():
-                for g in postings.get(t, ()):
-                    dots[g] = dots.get(g, 0.0) + w * sums[g][t]
-            best, best_sim = None, p.threshold
-            for g in sorted(dots):
-                sim = dots[g] / (norm * squares[g] ** 0.5)
-                if sim >= best_sim:
-                    best, best_sim = g, sim
-            own = set(entities)
-            if best is not None and best_sim < p.high_cosine and own and names[best] and not own & names[best]:
-                best = None
-            if best is None:
-                best = len(sums)
-                sums.append({})
-                squares.append(0.0)
-                names.append(set())
-            group = sums[best]
-            for t, w in vec.items():
-                old = group.get(t, 0.0)
-                squares[best] += (old + w) ** 2 - old**2
-                group[t] = old + w
-                postings.setdefault(t, set()).add(best)
-            names[best] |= own
-            label.append(best)
-        out = pdf[["edition_ts", "id"]].copy()
-        out["cluster_seq"] = label
-        out["member_rank"] = pd.Series(label, index=out.index).groupby(label).cumcount() if label else 0
-        return out
-
-    return run
-
-
-def vectors_of(windowed: DataFrame, lexicon: Lexicon, p: ClusterParams) -> DataFrame:
+def vectors_of(articles: DataFrame, lexicon: Lexicon, p: ClusterParams) -> DataFrame:
     """(id, terms, weights, entities): narrow rows to cluster by; an article with an empty vector has none."""
-    articles = windowed.select("id", "title", "description").dropDuplicates(["id"])
     each = F.array_sort(F.collect_list(F.struct("term", "weight")))
     vectors = term_freq(articles, lexicon.stopwords, p.title_weight).groupBy("id").agg(each.alias("v"))
     named = articles.select("id", text.named_entities(F.col("title")).alias("entities"))
     return vectors.join(named, "id").select("id", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"), "entities")
 
 
-def cluster_greedy(windowed: DataFrame, lexicon: Lexicon, p: ClusterParams = ClusterParams()) -> DataFrame:
+def windows_of(articles: DataFrame, p: ClusterParams = ClusterParams()) -> DataFrame:
+    """explode_windows() of what the clustering needs of an article: its texts stay below."""
+    return explode_windows(articles.select("id", "published_at", "feed_rank", "item_rank"), p)
+
+
+def cluster_greedy(articles: DataFrame, windows: DataFrame, lexicon: Lexicon, p: ClusterParams = ClusterParams()) -> DataFrame:
     """(edition_ts, id, cluster_seq, member_rank): the order-dependent clustering, exact, editions in parallel.
 
-    One edition is one group of at most `max_group_rows` articles. A larger edition is clustered by connected parts of
-    the graph of articles that share a term, which never affect each other; a part that is still larger is an error.
+    articles: each id once; windows: see windows_of(), all editions or some. An edition of at most `max_group_rows`
+    articles is one group; larger ones are settled in waves, see greedy_in_waves().
     """
-    rows = windowed.select("edition_ts", "id", "published_at", (F.col("feed_rank") * (1 << 40) + F.col("item_rank")).alias("ingest"))
-    large = [r[0] for r in rows.groupBy(F.col("edition_ts").cast("long").alias("at")).count().where(F.col("count") > p.max_group_rows).select("at").collect()]  # a row an edition
-    vectors = vectors_of(windowed, lexicon, p)
-    kinds = "edition_ts timestamp, id string, cluster_seq long, member_rank long"
-    is_large = F.col("edition_ts").cast("long").isin(large) if large else F.lit(False)
-    found = rows.where(~is_large).join(vectors, "id").groupBy("edition_ts").applyInPandas(_greedy(p), kinds)
-    return found.unionByName(_greedy_by_part(rows.where(is_large).join(vectors, "id"), p)) if large else found
-
-
-def _greedy_by_part(rows: DataFrame, p: ClusterParams) -> DataFrame:
-    """What cluster_greedy gives for whole editions, from groups of articles that are connected by shared terms."""
-    rows = checkpoint(rows)
-    terms = rows.select("edition_ts", "id", F.explode("terms").alias("term"))
-    least = terms.groupBy("edition_ts", "term").agg(F.min("id").alias("a"))
-    edges = terms.join(least, ["edition_ts", "term"]).select("edition_ts", "a", F.col("id").alias("b")).distinct()
-    rows = checkpoint(rows.join(connected_components(edges, "edition_ts"), ["edition_ts", "id"]))
-    most = rows.groupBy("edition_ts", "component").count().agg(F.max("count")).first()[0] or 0
-    if most > p.max_group_rows:
-        raise ValueError(f"{most} articles of an edition are connected by shared terms; max_group_rows is {p.max_group_rows}")
-    greedy = _greedy(p)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return greedy(pdf).join(pdf[["component", "published_at", "ingest"]])
-
-    kinds = "edition_ts timestamp, id string, cluster_seq long, member_rank long, component string, published_at timestamp, ingest long"
-    found = checkpoint(rows.groupBy("edition_ts", "component").applyInPandas(run, kinds))
-    # clusters are numbered in the order of their first members, over the whole edition
-    order = Window.partitionBy("edition_ts").orderBy(F.col("published_at").desc(), "ingest", "id")
-    seeds = found.where("member_rank = 0").select("edition_ts", "component", "cluster_seq", (F.row_number().over(order) - 1).cast("long").alias("seq"))
-    return found.join(seeds, ["edition_ts", "component", "cluster_seq"]).select("edition_ts", "id", F.col("seq").alias("cluster_seq"), "member_rank")
-
-
-def cluster_components(windowed: DataFrame, lexicon: Lexicon, p: ClusterParams = ClusterParams()) -> DataFrame:
+    rows = windows.select("edition_ts", "id", "published_at", (F.col("feed_rank") * (1 << 40) + F.col("item_rank")).alias("ingest"))
+    vectors = checkpoint(vectors_of(articles, lexicon, p))
+    sizes = rows.groupBy("edition_ts").count()
+    large = checkpoint(sizes.where(F.col("count") > p.max_group_rows).select("edition_ts"))
+    if large.isEmpty():
+        return greedy_whole(rows.join(vectors, "id"), p)
+    found = greedy_whole(rows.join(large, "edition_ts", "left_anti").join(vectors, "id"), p)
+    return found.unionByName(greedy_in_waves(rows.join(large, "edition_ts", "left_semi").join(vectors, "id"), p))
+
+
+def cluster_components(articles: DataFrame, windows: DataFrame, lexicon: Lexicon, p: ClusterParams = ClusterParams()) -> DataFrame:
     """(edition_ts, id, component): the order-free variant. Articles linked by similarity and the entity guard, joined
     transitively; it may merge more than the greedy clustering."""
-    articles = windowed.select("id", "title", "description", "published_at").dropDuplicates(["id"])
-    vectors = term_freq(articles, lexicon.stopwords, p.title_weight)
+    vectors = checkpoint(term_freq(articles, lexicon.stopwords, p.title_weight))
     entities = articles.select("id", text.named_entities(F.col("title")).alias("entities"))
     # articles of one edition are at most a window apart: they share a stretch of this length or the next one
     stretch = F.floor(F.col("published_at").cast("double") / (3600 * (p.window_hours + p.ahead_hours)))
-    near = articles.select("id", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    near = articles.where("published_at is not null").select("id", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
     pairs = similar_pairs(vectors.join(near, "id"), p.threshold, ("stretch",)).drop("stretch").dropDuplicates(["a", "b"])
     pairs = guard_entities(pairs, entities, p.high_cosine)
-    when = windowed.select("edition_ts", "id")
+    when = windows.select("edition_ts", "id")
     both = pairs.select("a", "b").join(when.withColumnRenamed("id", "a"), "a").join(when.withColumnRenamed("id", "b"), ["edition_ts", "b"])
     found = connected_components(both.select("edition_ts", "a", "b"), "edition_ts")
     known = vectors.select("id").distinct()

@@ -13,7 +13,7 @@ from newsdesk.functions import dates, text
 from newsdesk.functions.urls import article_id, normalize_url
 from newsdesk.operators import articles as art
 from newsdesk.operators import catalog, clusters, editions, editorial, publish, ranking, summaries, topics, vectors
-from newsdesk.params import FALLBACK_WHY, RankParams, Site
+from newsdesk.params import FALLBACK_WHY, ClusterParams, RankParams, Site
 from newsdesk.plans import adapter, twins
 from newsdesk.plans.adapter import LEXICON
 from newsdesk.shared import shared_dir
@@ -176,7 +176,7 @@ _PAIRS = """, norms AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM terms
   SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) AS dot FROM terms x JOIN terms y ON x.term = y.term AND x.id < y.id GROUP BY ALL
 ), pairs AS (
   SELECT a, b, dot / (m.norm * n.norm) AS similarity FROM dots JOIN norms m ON m.id = a JOIN norms n ON n.id = b
-  WHERE dot / (m.norm * n.norm) >= 0.9 - 1e-12)
+  WHERE dot / (m.norm * n.norm) >= 0.30 - 1e-12)
 """
 
 
@@ -185,8 +185,8 @@ def term_freq(spark, sf):
     return vectors.term_freq(adapter.firsts(spark, sf), LEXICON.stopwords)
 
 
-def _pairs(spark, sf, threshold: float = 0.9) -> DataFrame:
-    return vectors.similar_pairs(vectors.term_freq(adapter.firsts(spark, sf), LEXICON.stopwords), threshold)
+def _pairs(spark, sf) -> DataFrame:
+    return vectors.similar_pairs(vectors.term_freq(adapter.firsts(spark, sf), LEXICON.stopwords), ClusterParams().threshold)
 
 
 @query(_TERMS.format("firsts") + _PAIRS + "SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
@@ -197,20 +197,24 @@ def similar_pairs(spark, sf):
 @query(
     _TERMS.format("firsts") + _PAIRS + f""", names AS (SELECT id, {twins.entities('title')} AS e FROM firsts)
 SELECT a, b, round(similarity, 6) AS similarity FROM pairs JOIN names x ON x.id = a JOIN names y ON y.id = b
-WHERE similarity >= 0.95 OR len(x.e) = 0 OR len(y.e) = 0 OR list_has_any(x.e, y.e)"""
+WHERE similarity >= 0.50 OR len(x.e) = 0 OR len(y.e) = 0 OR list_has_any(x.e, y.e)"""
 )
 def entity_guard(spark, sf):
     named = adapter.firsts(spark, sf).select("id", text.named_entities(F.col("title")).alias("entities"))
-    return vectors.guard_entities(_pairs(spark, sf), named, 0.95).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return vectors.guard_entities(_pairs(spark, sf), named, ClusterParams().high_cosine).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def _windowed(spark, sf) -> DataFrame:
     return clusters.explode_windows(art.filter_niche(adapter.firsts(spark, sf), LEXICON))
 
 
+def _niche(spark, sf) -> DataFrame:
+    return art.filter_niche(adapter.firsts(spark, sf), LEXICON)
+
+
 @query()
 def cluster_greedy(spark, sf):
-    found = clusters.cluster_greedy(_windowed(spark, sf), LEXICON)
+    found = clusters.cluster_greedy(_niche(spark, sf), clusters.windows_of(_niche(spark, sf)), LEXICON)
     return found.select(stamp("edition_ts").alias("edition_ts"), "id", "cluster_seq", "member_rank")
 
 
@@ -234,7 +238,8 @@ def cluster_greedy(spark, sf):
 SELECT {twins.stamp('edition_ts')} AS edition_ts, id, component FROM reach"""
 )
 def cluster_components(spark, sf):
-    return clusters.cluster_components(_windowed(spark, sf), LEXICON).select(stamp("edition_ts").alias("edition_ts"), "id", "component")
+    found = clusters.cluster_components(_niche(spark, sf), clusters.windows_of(_niche(spark, sf)), LEXICON)
+    return found.select(stamp("edition_ts").alias("edition_ts"), "id", "component")
 
 
 _KEYS = ("date", "bucket")

@@ -72,11 +72,12 @@ def test_greedy_clusters(spark):
         ("a", "G1", "Enchente atinge bairros de Porto Alegre", hours(1)), ("b", "UOL", "Enchente atinge bairros em Porto Alegre", hours(2)), ("c", "G1", "Avião cai no interior paulista", hours(3)),
         ("old", "G1", "Enchente atinge bairros de Porto Alegre", hours(200)),
     ]
-    windowed = clusters.explode_windows(articles(spark, rows)).where(F.col("edition_ts") == F.lit(NOW))
-    assert groups(clusters.cluster_greedy(windowed, LEX)) == [["a", "b"], ["c"]]
+    at_now = lambda rows: clusters.windows_of(rows).where(F.col("edition_ts") == F.lit(NOW))
+    known = articles(spark, rows)
+    assert groups(clusters.cluster_greedy(known, at_now(known), LEX)) == [["a", "b"], ["c"]]
     other = [("x", "s", "Grave acidente entre trem deixa mortos na Bélgica", hours(1)), ("y", "s", "Grave acidente deixa mortos em Minas Gerais ônibus", hours(2))]
-    windowed = clusters.explode_windows(articles(spark, other)).where(F.col("edition_ts") == F.lit(NOW))
-    assert groups(clusters.cluster_greedy(windowed, LEX, ClusterParams(high_cosine=0.9))) == [["x"], ["y"]]
+    known = articles(spark, other)
+    assert groups(clusters.cluster_greedy(known, at_now(known), LEX, ClusterParams(high_cosine=0.9))) == [["x"], ["y"]]
 
 
 def test_components_match_union(spark):
