@@ -27,13 +27,15 @@ class Build:
     misaligned: DataFrame
 
 
-def pool_members(articles: DataFrame, p: Params = Params(), first: float | None = None) -> DataFrame:
-    """Articles of the ranked clusters of every run instant, from `first` (in seconds) on if given: the article, edition_ts, cluster_seq, member_rank, is_anchor,
+def pool_members(articles: DataFrame, p: Params = Params(), first: float | None = None, last: float | None = None) -> DataFrame:
+    """Articles of the ranked clusters of every run instant, from `first` to `last` (in seconds) if given: the article, edition_ts, cluster_seq, member_rank, is_anchor,
     slug, rank and the cluster's stats. Clusters with equal scores go in the order they were begun."""
     niche = checkpoint(art.with_niche_flags(art.filter_niche(articles, p.lexicon), p.lexicon))
     windowed = clusters.windows_of(niche, p.cluster)
     if first is not None:
         windowed = windowed.where(F.col("edition_ts").cast("double") >= first)
+    if last is not None:
+        windowed = windowed.where(F.col("edition_ts").cast("double") <= last)
     labels = checkpoint(clusters.cluster_greedy(niche, windowed, p.lexicon, p.cluster))
     found = labels.join(niche, "id")
     stats = clusters.cluster_stats(found, _CLUSTER)
@@ -44,13 +46,13 @@ def pool_members(articles: DataFrame, p: Params = Params(), first: float | None
     return members.withColumn("is_anchor", F.col("id") == F.col("slug"))
 
 
-def build(articles: DataFrame, cache: DataFrame, responses: DataFrame, p: Params = Params(), first: float | None = None) -> Build:
-    """Editions of every run instant that an article's window reaches, from `first` (in seconds) on if given.
+def build(articles: DataFrame, cache: DataFrame, responses: DataFrame, p: Params = Params(), first: float | None = None, last: float | None = None) -> Build:
+    """Editions of every run instant that an article's window reaches, from `first` to `last` (in seconds) if given.
 
     articles: see items_to_articles, each id once. cache: (slug, summary fields, cached_at); responses: (slug, summary
     fields). A run whose gate leaves nothing has no rows, so nothing is written for it.
     """
-    members = checkpoint(pool_members(articles, p, first))
+    members = checkpoint(pool_members(articles, p, first, last))
     stats = members.groupBy(*_STORY, "rank", "cluster_id", "latest_at").agg(F.first("cluster_seq").alias("cluster_seq"))
     pool = stats.join(summaries.cluster_corpus(members, _STORY), list(_STORY))
     resolved = summaries.resolve(pool, cache, responses, summaries.fallback_summary(members, _STORY), F.col("edition_ts"), p.summary)

@@ -19,51 +19,53 @@ _CLUSTER = "edition_ts timestamp, cluster_seq long, size long, terms array<strin
 class Clusters:
     """Clusters in the order in which they were begun; each is the sum of its members' vectors.
 
-    An inverted index from term to clusters gives all dot products of an article in one pass over its terms.
+    The sums are held by term, so that one pass over an article's terms gives its products with all clusters.
     """
 
     def __init__(self, p: ClusterParams):
         self.p = p
-        self.sums: list[dict] = []
+        self.sums: dict[str, dict[int, float]] = {}
+        self.terms: list[list[str]] = []
         self.squares: list[float] = []
         self.names: list[set] = []
         self.sizes: list[int] = []
-        self.postings: dict[str, set[int]] = {}
 
     def add(self, terms: Iterable[str], weights: Iterable[int], entities: Iterable[str], size: int) -> None:
         """A cluster that is already there."""
-        self.sums.append({t: float(w) for t, w in zip(terms, weights, strict=True)})
-        self.squares.append(sum(w * w for w in self.sums[-1].values()))
+        g = len(self.sizes)
+        self.terms.append(list(terms))
+        self.squares.append(float(sum(int(w) * int(w) for w in weights)))
         self.names.append(set(entities))
         self.sizes.append(size)
-        for t in self.sums[-1]:
-            self.postings.setdefault(t, set()).add(len(self.sums) - 1)
+        for t, w in zip(terms, weights, strict=True):
+            self.sums.setdefault(t, {})[g] = float(w)
 
     def join(self, terms: Iterable[str], weights: Iterable[int], entities: Iterable[str]) -> int:
         """Puts an article into the most similar cluster (the cosine with its sum), or begins one."""
-        vec = dict(zip(terms, (float(w) for w in weights), strict=True))
-        norm = sum(w * w for w in vec.values()) ** 0.5
+        weights = [float(w) for w in weights]
+        norm = sum(w * w for w in weights) ** 0.5
         dots: dict[int, float] = {}
-        for t, w in vec.items():
-            for g in self.postings.get(t, ()):
-                dots[g] = dots.get(g, 0.0) + w * self.sums[g][t]
+        for t, w in zip(terms, weights, strict=True):
+            for g, s in self.sums.get(t, {}).items():
+                dots[g] = dots.get(g, 0.0) + w * s
         best, most = None, self.p.threshold
-        for g in sorted(dots):
-            similarity = dots[g] / (norm * self.squares[g] ** 0.5)
-            if similarity >= most:
+        for g, dot in dots.items():
+            similarity = dot / (norm * self.squares[g] ** 0.5)
+            if similarity > most or similarity == most and (best is None or g > best):
                 best, most = g, similarity
         own = set(entities)
         if best is not None and most < self.p.high_cosine and own and self.names[best] and not own & self.names[best]:
             best = None
         if best is None:
-            best = len(self.sums)
+            best = len(self.sizes)
             self.add((), (), (), 0)
-        group = self.sums[best]
-        for t, w in vec.items():
-            old = group.get(t, 0.0)
+        for t, w in zip(terms, weights, strict=True):
+            by = self.sums.setdefault(t, {})
+            old = by.get(best, 0.0)
+            if not old:
+                self.terms[best].append(t)
             self.squares[best] += (old + w) ** 2 - old**2
-            group[t] = old + w
-            self.postings.setdefault(t, set()).add(best)
+            by[best] = old + w
         self.names[best] |= own
         self.sizes[best] += 1
         return best
@@ -102,7 +104,7 @@ def _settle(p: ClusterParams):
             changed.add(g)
             out.append((at, name, numbers[g], found.sizes[g] - 1, None, [], [], []))
         for g in sorted(changed):
-            out.append((at, None, numbers[g], None, found.sizes[g], list(found.sums[g]), [int(w) for w in found.sums[g].values()], sorted(found.names[g])))
+            out.append((at, None, numbers[g], None, found.sizes[g], found.terms[g], [int(found.sums[t][g]) for t in found.terms[g]], sorted(found.names[g])))
         return pd.DataFrame(out, columns=["edition_ts", "id", "cluster_seq", "member_rank", "size", "terms", "weights", "entities"]).astype({"member_rank": "Int64", "size": "Int64"})
 
     return run

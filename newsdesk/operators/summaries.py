@@ -97,8 +97,8 @@ def resolve(pool: DataFrame, cache: DataFrame, responses: DataFrame, fallback: D
 
 
 def newest(cache: DataFrame) -> DataFrame:
-    """The newest summary of each slug."""
-    return cache.groupBy("slug").agg(F.max_by(F.struct(*FIELDS, "cached_at"), "cached_at").alias("row")).select("slug", "row.*")
+    """The newest summary of each slug; of equally new ones the greatest by its fields."""
+    return cache.groupBy("slug").agg(F.max(F.struct("cached_at", *FIELDS)).alias("row")).select("slug", *[F.col(f"row.{c}").alias(c) for c in (*FIELDS, "cached_at")])
 
 
 def generated(resolved: DataFrame, now: Column) -> DataFrame:

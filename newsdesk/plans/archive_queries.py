@@ -159,12 +159,19 @@ def _answers(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cache, made(1).where("n % 3 != 0").drop("published_at", "n")
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    sources = F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["name"], s["url"])), "|")
+    return rows.select(
+        stamp("edition_ts").alias("edition_ts"), "section", "section_rank", "story_rank", "slug", "cluster_id", "titulo", "resumo", "por_que_importa", "categoria",
+        stamp("updated_at").alias("updated_at"), F.size("sources").alias("n_sources"), sources.alias("sources"), "image_url",
+    )
+
+
 @query()
 def edition_build(spark, sf):
     """Items to editions at every run instant: filter, greedy clusters, ranking, summaries, scope gate, stories, sections."""
     articles = adapter.firsts(spark, sf)
-    found = build.build(articles, *_answers(articles), PARAMS)
-    return found.rows.select(stamp("edition_ts").alias("edition_ts"), "section", "section_rank", "story_rank", "slug", "cluster_id", "titulo", "categoria", stamp("updated_at").alias("updated_at"), F.size("sources").alias("n_sources"), "image_url")
+    return _shown(build.build(articles, *_answers(articles), PARAMS).rows)
 
 
 @query()
@@ -176,7 +183,7 @@ def stream_editions(spark, sf):
     builder = ingest.edition_builder(f"{at}/articles", f"{at}/editions", f"{at}/state", lambda rows: _answers(rows)[1], PARAMS)
     ingest.start_editions(ingest.stream_articles(items), builder, f"{at}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{at}/editions")
-    return rows.select(F.col("date").cast("string").alias("date"), stamp("edition_ts").alias("edition_ts"), "section", "section_rank", "story_rank", "slug", "titulo", "categoria")
+    return _shown(rows)
 
 
 @query("SELECT DISTINCT id FROM articles WHERE item_rank % 19 <> 3")

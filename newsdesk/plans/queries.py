@@ -208,13 +208,15 @@ def _windowed(spark, sf) -> DataFrame:
     return clusters.explode_windows(art.filter_niche(adapter.firsts(spark, sf), LEXICON))
 
 
+@adapter.kept
 def _niche(spark, sf) -> DataFrame:
     return art.filter_niche(adapter.firsts(spark, sf), LEXICON)
 
 
 @query()
 def cluster_greedy(spark, sf):
-    found = clusters.cluster_greedy(_niche(spark, sf), clusters.windows_of(_niche(spark, sf)), LEXICON)
+    niche = _niche(spark, sf)
+    found = clusters.cluster_greedy(niche, clusters.windows_of(niche), LEXICON)
     return found.select(stamp("edition_ts").alias("edition_ts"), "id", "cluster_seq", "member_rank")
 
 
@@ -238,7 +240,8 @@ def cluster_greedy(spark, sf):
 SELECT {twins.stamp('edition_ts')} AS edition_ts, id, component FROM reach"""
 )
 def cluster_components(spark, sf):
-    found = clusters.cluster_components(_niche(spark, sf), clusters.windows_of(_niche(spark, sf)), LEXICON)
+    niche = _niche(spark, sf)
+    found = clusters.cluster_components(niche, clusters.windows_of(niche), LEXICON)
     return found.select(stamp("edition_ts").alias("edition_ts"), "id", "component")
 
 

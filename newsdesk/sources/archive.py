@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +77,40 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
+
+
+class Versions:
+    """A table of which each batch writes a whole new version, and a manifest of the complete ones.
+
+    The manifest has a file a version, written after its rows, with what the writer notes (JSON). A batch reads the newest
+    version below its own number, so a batch that is run again reads and writes what it did before. Versions that more
+    than `keep` newer ones follow are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 10):
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> dict[int, dict]:
+        """What was noted of the versions that are there: at most `keep` + 1."""
+        at = self._hadoop.Path(f"{self.path}/manifest")
+        if not self._fs.exists(at):
+            return {}
+        notes = self.spark.read.schema("version long, note string").json(f"{self.path}/manifest/*").collect()
+        return {r.version: json.loads(r.note) for r in notes}
+
+    def before(self, number: int) -> tuple[DataFrame, dict]:
+        """The newest version below `number`, and its note; no rows where there is none."""
+        known = {n: note for n, note in self.manifest().items() if n < number}
+        if not known:
+            return self.spark.createDataFrame([], self.schema), {}
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version/{max(known)}"), known[max(known)]
+
+    def write(self, rows: DataFrame, number: int, note: dict) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/version/{number}")
+        entry = self.spark.createDataFrame([(number, json.dumps(note))], "version long, note string")
+        entry.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{number}")
+        for old in sorted(n for n in self.manifest() if n < number)[: -self.keep]:
+            for kind in ("manifest", "version"):
+                self._fs.delete(self._hadoop.Path(f"{self.path}/{kind}/{old}"), True)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.operators import summaries
 from newsdesk.operators.articles import dedupe_by_url, items_to_articles
 from newsdesk.operators.build import build, last_of_day
+from newsdesk.operators.graph import checkpoint
 from newsdesk.params import Params
-from newsdesk.sources.archive import read_or_empty, write_editions
+from newsdesk.sources.archive import Versions, write_editions
 
 ddl = lambda rows: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 CACHE = "slug string, titulo string, resumo string, por_que_importa string, categoria string, cached_at timestamp"
@@ -35,29 +37,62 @@ def sliding_volume(articles: DataFrame, length: str = "48 hours", step: str = "4
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "source", "n")
 
 
+class Store:
+    """Articles by publication day (UTC) and batch. Reading some days lists and reads these alone, however long the history is."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        """Under the batch's number: a batch that is written again replaces its own rows."""
+        rows = rows.withColumns({"day": F.to_date("published_at"), "batch": F.lit(number).cast("long")})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.path)
+
+    def read(self, first: float, last: float, number: int) -> DataFrame:
+        """Articles published from `first` to `last` (in seconds), of the batches up to `number`."""
+        hadoop, n = self.spark._jvm.org.apache.hadoop.fs, 24 * 3600
+        days = (dt.date.fromordinal(719163 + k) for k in range(math.floor(first / n), math.floor(last / n) + 1))  # 719163: 1970-01-01
+        paths = [f"{self.path}/day={d}" for d in days]
+        fs = hadoop.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = [at for at in paths if fs.exists(hadoop.Path(at))]
+        if not there:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(f"{self.schema}, day date, batch long").option("basePath", self.path).parquet(*there)
+        at = F.col("published_at").cast("double")
+        return rows.where((F.col("batch") <= number) & (at >= first) & (at <= last)).drop("day", "batch")
+
+
 def edition_builder(articles_path: str, editions_path: str, state_path: str, responses: Callable[[DataFrame], DataFrame], p: Params = Params()) -> Callable[[DataFrame, int], None]:
-    """A `build` for start_editions(). Each batch's articles join the store; the editions from the first that one of them
-    reaches are built from all articles in their windows and replace those days in the archive; generated summaries
-    join the state. Store and state are written under the batch's number, so a batch that is run again changes nothing.
+    """A `build` for start_editions(). Each batch's articles join the store. The runs that are due by the newest article
+    seen and have not been built, or that an article of the batch reaches, are built from the articles of their windows
+    and replace their days in the archive. The summaries are a table in versions: the state after a batch is the one
+    before it and what the batch generated, pruned to `prune_hours` before the last due run. So a batch reads the days
+    that it reaches and the stories of the last days, and a batch that is run again changes nothing.
 
     responses: from articles to (slug, summary fields).
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark, step = batch.sparkSession, 3600 * p.cluster.every_hours
-        keep = lambda rows, path: rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-        keep(batch, articles_path)
-        store = spark.read.schema(f"{ddl(batch)}, batch long").parquet(articles_path).where(F.col("batch") <= number)
-        oldest = store.where(F.col("batch") == number).agg(F.min(F.col("published_at").cast("double"))).first()[0]  # one value
+        window, ahead = 3600 * p.cluster.window_hours, 3600 * p.cluster.ahead_hours
+        state, store = Versions(spark, state_path, CACHE), Store(spark, articles_path, ddl(batch))
+        at = F.col("published_at").cast("double")
+        store.write(batch, number)
+        oldest, newest = batch.agg(F.min(at), F.max(at)).first()  # two values
         if oldest is None:
             return
-        first = math.ceil((oldest - 3600 * p.cluster.ahead_hours) / step) * step
-        at = F.col("published_at").cast("double")
-        known = dedupe_by_url(store.where(at >= first - 3600 * p.cluster.window_hours).drop("batch"))
-        state = read_or_empty(spark, state_path, f"{CACHE}, batch long").where(F.col("batch") < number).drop("batch")
-        found = build(known, summaries.newest(state), responses(known), p, first)
+        cache, before = state.before(number)
+        last = max(math.floor(newest / step) * step, before.get("last", -math.inf))
+        first = math.ceil((oldest - ahead) / step) * step
+        if before:
+            first = min(first, before["last"] + step)
+        stored = store.read(first - window, last + ahead, number)
+        known = checkpoint(dedupe_by_url(stored))
+        found = build(known, cache, responses(known), p, first, last)
         write_editions(last_of_day(found.rows), editions_path)
-        keep(summaries.newest(summaries.generated(found.resolved, F.col("edition_ts"))), state_path)
+        both = cache.unionByName(summaries.generated(found.resolved, F.col("edition_ts")))
+        kept = summaries.prune_cache(summaries.newest(both), F.timestamp_seconds(F.lit(last)), p.summary.prune_hours)
+        state.write(kept, number, {"first": first, "last": last, "rows_read": stored.count(), "summaries": kept.count()})
 
     return run
 
