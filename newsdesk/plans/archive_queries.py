@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsdesk.operators import articles as art
 from newsdesk.operators import build, clusters, editions, publish, summaries
 from newsdesk.params import Params, SummaryParams
 from newsdesk.plans import adapter, twins
@@ -14,7 +15,7 @@ from newsdesk.plans.adapter import LEXICON
 from newsdesk.plans.queries import _RESOLVED, SITE, _home, _resolved, joined, query, stamp
 from newsdesk.shared import shared_dir
 from newsdesk.sources import archive, feeds
-from newsdesk.streaming import ingest
+from newsdesk.streaming import ingest, state
 
 
 def _folder(spark: SparkSession) -> str:
@@ -94,12 +95,12 @@ QUALIFY row_number() OVER (PARTITION BY slug ORDER BY cached_at DESC) = 1"""
 def summary_state(spark, sf):
     """The state table of summaries: absent at first, written, read again, pruned at its newest entry."""
     at = _folder(spark)
-    state = archive.read_or_empty(spark, at, ingest.CACHE)
+    none = archive.read_or_empty(spark, at, ingest.CACHE)
     made = summaries.generated(_resolved(spark, sf), F.date_add("edition_ts", 2).cast("timestamp"))
-    state.unionByName(made).write.parquet(at)
-    state = archive.read_or_empty(spark, at, ingest.CACHE)
-    now = state.agg(F.max("cached_at")).first()[0]  # one value
-    kept = summaries.prune_cache(summaries.newest(state), F.lit(now), SummaryParams().prune_hours)
+    none.unionByName(made).write.parquet(at)
+    cache = archive.read_or_empty(spark, at, ingest.CACHE)
+    now = cache.agg(F.max("cached_at")).first()[0]  # one value
+    kept = summaries.prune_cache(summaries.newest(cache), F.lit(now), SummaryParams().prune_hours)
     return kept.select("slug", "titulo", "categoria", stamp("cached_at").alias("cached_at"))
 
 
@@ -197,3 +198,38 @@ def stream_timely(spark, sf):
     at = _folder(spark)
     found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{at}/out").select("id")
+
+
+_CLOSED = "generate_series((floor(epoch(published_at) / 14400) - 11)::BIGINT, floor(epoch(published_at) / 14400)::BIGINT)"
+
+
+@query(
+    f"""SELECT strftime(make_timestamp(w * 14400000000), '%Y-%m-%d %H:%M:%S') AS window_start, source, count(*) AS n
+FROM (SELECT source, unnest({_CLOSED}) AS w FROM articles) WHERE w * 14400 + 48 * 3600 <= (SELECT max(epoch(published_at)) FROM articles) - 6 * 3600 GROUP BY ALL"""
+)
+def stream_volume(spark, sf):
+    """Volumes of a stream of documents that ends with what is there: the windows that the watermark has closed."""
+    docs = spark.readStream.schema(adapter.table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parquet*")
+    items = adapter.items_of(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source"))
+    found, at = state.volume_stream(art.items_to_articles(items), "6 hours"), _folder(spark)
+    state.run_stream(found, f"{at}/out", f"{at}/state")
+    return spark.read.schema(found.schema).parquet(f"{at}/out").select(stamp("window_start").alias("window_start"), "source", "n")
+
+
+_MADE = "SELECT 's' || (CASE WHEN doc_id % 3 = 0 THEN doc_id + 10000000 ELSE doc_id % 700 END) AS slug, substr(text, 1, 80) AS titulo, make_timestamp((1704067200 + doc_id * 300) * 1000000) AS cached_at FROM documents WHERE doc_id IS NOT NULL"
+
+
+@query(
+    f"""WITH made AS ({_MADE}), newest AS (SELECT slug, max(struct_pack(at := cached_at, titulo := titulo)) AS x FROM made GROUP BY slug)
+SELECT slug, x.titulo AS titulo, strftime(x.at, '%Y-%m-%d %H:%M:%S') AS cached_at FROM newest WHERE x.at >= (SELECT max(cached_at) FROM made) - INTERVAL 72 HOUR""",
+    chain=False,
+)
+def stream_summaries(spark, sf):
+    """Summaries made of a stream of documents: what its state holds in the end, three days of them."""
+    docs = spark.readStream.schema(adapter.table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parquet*").where("doc_id is not null")
+    d = F.col("doc_id")
+    slug = F.concat(F.lit("s"), F.when(d % 3 == 0, d + 10000000).otherwise(d % 700).cast("string"))
+    made = docs.select(slug.alias("slug"), F.substring("text", 1, 80).alias("titulo"), *[F.lit(x).alias(c) for c, x in (("resumo", "r"), ("por_que_importa", "p"), ("categoria", "c"))], F.timestamp_seconds(F.lit(adapter.START) + d * 300).alias("cached_at"))
+    at = _folder(spark)
+    state.run_stream(state.keep_summaries(made), f"{at}/changes", f"{at}/state")
+    return state.summaries_in_state(spark, f"{at}/state").select("slug", "titulo", stamp("cached_at").alias("cached_at"))
