@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import Scratch, group_starts, groups, skew_join
+from newsdesk.llm.common import Scratch, group_starts, groups, skew_join, spread_join
 from newsdesk.llm.components import components, joined_components
 
-BLOCK = 512
+#: Members of a side of a block, and the bytes of payload that count as one: a side has about 4 MB at most, or one payload.
+BLOCK, UNIT = 512, 8192
 
 
 class Similarity:
@@ -115,6 +116,10 @@ class BucketLinks:
         """(node, payload) that the exact check needs, for (node)."""
         raise NotImplementedError
 
+    def size_of(self, payload: str) -> F.Column:
+        """Bytes of a payload."""
+        raise NotImplementedError
+
     def pruned(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those that the cheap check lets pass."""
         kind = self.kind
@@ -126,36 +131,42 @@ class BucketLinks:
                     yield batch.select(["a", "b"]).take(pa.array(found))
 
         one, other = (self.summaries.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
-        return pairs.join(one, "a").join(other, "b").mapInArrow(run, "a long, b long")
+        return spread_join(spread_join(pairs, one, "a", pairs), other, "b", pairs).mapInArrow(run, "a long, b long")
 
     def components(self, members: DataFrame) -> DataFrame:
         """(node, component) of the nodes that have a link; members: written (leader, node) with node != leader."""
         before = self.scratch.n
-        stars = members.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+        stars = members.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))  # a leader may be in many
         tested = self.scratch.write(self.pruned(stars), "pairs")
         found = self.scratch.write(components(self.verified(tested), self.scratch), "components")
 
         everyone = members.unionByName(members.select("leader", F.col("leader").alias("node")).distinct())
         label = F.coalesce("component", "node").alias("label")
         rows = self.scratch.write(everyone.join(found, "node", "left").select("leader", "node", label), "labelled")
-        hit = self.dealt(rows).join(self.summaries, "node")
+        hit = self.dealt(rows.withColumn("weight", F.lit(1.0))).join(self.summaries, "node")
         hit = self.in_groups(hit, "sig").mapInArrow(_plausible(self.kind), "leader long, node long").distinct()
         hit = self.scratch.write(hit.join(found, "node", "left").select("leader", "node", label), "residual")
         nodes = self.scratch.write(hit.select("node").distinct(), "nodes")
-        links = self.dealt(hit).join(self.payloads(nodes), "node")
+        payloads = self.payloads(nodes)
+        weight = F.greatest(F.lit(1.0), self.size_of("payload") / UNIT)
+        weighed = self.scratch.write(hit.join(payloads.select("node", weight.alias("weight")), "node"), "weighed")
+        links = self.dealt(weighed).join(payloads, "node")
         links = self.scratch.write(self.in_groups(links, "payload").mapInArrow(_links(self.kind), "a long, b long").distinct(), "links")
         joined = self.scratch.write(joined_components(found, links, self.scratch), "components")
         self.scratch.drop_since(before, joined)
         return joined
 
     def dealt(self, rows: DataFrame) -> DataFrame:
-        """(leader, left, right, is_left, node, label): the two sides of each leader's written rows (leader, node, label), in blocks."""
-        sizes = rows.groupBy("leader", "label").agg(F.count("*").alias("n"))
-        sizes = sizes.groupBy("leader").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("in_main"), F.count("*").alias("labels"))
+        """(leader, left, right, is_left, node, label): the two sides of each leader's rows (leader, node, label, weight), in
+        blocks of about BLOCK members of weight 1."""
+        sizes = rows.groupBy("leader", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+        sizes = sizes.groupBy("leader").agg(
+            F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.sum("weight").alias("whole"), F.max_by("weight", "n").alias("in_main"), F.count("*").alias("labels")
+        )
         sizes = self.scratch.write(sizes.where("labels > 1").drop("labels"), "sizes")
         rows = skew_join(rows, sizes, ["leader"], "all", rows.count()).where("found is not null").select("leader", "node", "label", "found.*")
-        lefts = F.ceil((F.col("all") - F.col("in_main")) / BLOCK).cast("int")
-        rights = F.ceil(F.col("all") / BLOCK).cast("int")
+        lefts = F.greatest(F.lit(1), F.ceil((F.col("whole") - F.col("in_main")) / BLOCK).cast("int"))
+        rights = F.greatest(F.lit(1), F.ceil(F.col("whole") / BLOCK).cast("int"))
         block = lambda n: F.pmod(F.hash("node"), n)
         spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         left = rows.where("label != main").select("leader", block(lefts).alias("left"), spread(rights).alias("right"), F.lit(True).alias("is_left"), "node", "label")

@@ -162,3 +162,17 @@ def skew_join(rows: DataFrame, lookup: DataFrame, key: list[str], weight: str, t
     spread = F.when(F.col("hot").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)))
     out = out.withColumn("cold_key", F.struct(*key, spread.cast("long").alias("spread")))
     return out.join(cold, "cold_key", "left").withColumn("found", F.coalesce("hot", "cold")).drop("cold_key", "hot", "cold")
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, counted: DataFrame, hot_share: float = 1e-3) -> DataFrame:
+    """`rows` joined with `lookup` (one row a key at most, of any size); counted: a written table with the keys of `rows`.
+
+    A key with more than `hot_share` of the rows, of which there are at most 1 / hot_share, is salted: its rows are dealt
+    over as many copies of its entry as it has such shares.
+    """
+    share = max(2.0, hot_share * counted.count())
+    hot = counted.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > share)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("n") / share).cast("int").alias("copies")))
+    salt = F.when(F.col("copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("copies")).cast("int"))
+    many = lookup.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return rows.join(hot, key, "left").withColumn("salt", salt).drop("copies").join(many, [key, "salt"]).drop("salt")

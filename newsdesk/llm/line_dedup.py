@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from newsdesk.llm.bucket_links import BucketLinks, Similarity
 from newsdesk.llm.chat_format import ranges
-from newsdesk.llm.common import Scratch, map_in_arrow, skew_join, slices, table, with_fields, without
+from newsdesk.llm.common import Scratch, map_in_arrow, skew_join, slices, spread_join, table, with_fields, without
 from newsdesk.llm.words import mix
 
 U = np.uint64
@@ -258,9 +258,12 @@ class LineLinks(BucketLinks):
     def payloads(self, nodes: DataFrame) -> DataFrame:
         return nodes.join(self.lines.select("node", F.col("line").alias("payload")), "node")
 
+    def size_of(self, payload: str) -> F.Column:
+        return F.octet_length(payload)
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         one, other = (self.lines.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-        return self.scratch.write(pairs.join(other, "b").join(one, "a").mapInArrow(_within(self.tau), "a long, b long"), "links")
+        return self.scratch.write(spread_join(spread_join(pairs, other, "b", pairs), one, "a", pairs).mapInArrow(_within(self.tau), "a long, b long"), "links")
 
 
 def duplicate_lines(docs: DataFrame, tau: int = 2) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.llm.bucket_links import BucketLinks, Similarity
-from newsdesk.llm.common import Scratch, skew_join, slices, table
+from newsdesk.llm.common import Scratch, skew_join, slices, spread_join, table
 from newsdesk.llm.words import mix, shingles, word_hashes
 
 U = np.uint64
@@ -174,14 +174,17 @@ class NearDuplicates(BucketLinks):
         wanted = nodes.join(self.classes.select("node", "rep", "rep_h", "k1", "k2"), "node")
         return self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["rep"]) & (self.docs["h"] == wanted["rep_h"])).select("text", "node", "k1", "k2")
 
+    def size_of(self, payload: str) -> F.Column:
+        return 8 * F.size(payload)
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = self.payloads(self.scratch.write(nodes, "nodes"))
         one, other = (sets.select(F.col("node").alias(x), F.col("payload").alias(f"m{x}")) for x in "ab")
         shared = F.size(F.array_intersect("ma", "mb")).cast("long")
         all_of = F.size("ma") + F.size("mb") - shared
-        # b first: the shuffle to a then carries one set a pair, and that of a leader with many members only once
-        links = pairs.join(other, "b").join(one, "a").where(100 * shared >= self.percent * all_of).select("a", "b")
+        # b first: the shuffle to a then carries one set a pair; that of a leader with many members is salted
+        links = spread_join(spread_join(pairs, other, "b", pairs), one, "a", pairs).where(100 * shared >= self.percent * all_of).select("a", "b")
         return self.scratch.write(links, "links")
 
     def result(self) -> DataFrame:

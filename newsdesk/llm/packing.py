@@ -219,10 +219,11 @@ def place(pieces: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
     """(pieces, sequence_id, offset) for written pieces."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan = Plan(histogram, capacity)
+    plan = min((Plan(histogram, capacity), Plan(histogram, capacity, small=capacity)), key=lambda p: p.sequences)  # grouped, or best fit alone
     order = ["length", "doc_id", "piece", "ids_crc32"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_rank, f"{PIECES}, part int, at long")
+    spread = F.xxhash64(F.monotonically_increasing_id())  # parts equal pieces
+    ranked = pieces.repartitionByRange(parts, *order, spread).sortWithinPartitions(*order).mapInArrow(_rank, f"{PIECES}, part int, at long")
     ranked = scratch.write(ranked, "ranked")
     sums = ranked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row per part
     before = dict(zip([r["part"] for r in sums], np.cumsum([0, *(r["n"] for r in sums)]).tolist(), strict=False))

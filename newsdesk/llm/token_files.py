@@ -120,7 +120,8 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "h", "text"]  # the hash parts rows with one doc_id, or none
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    ranged = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).drop("h")
+    spread = F.xxhash64(F.monotonically_increasing_id())  # parts equal rows
+    ranged = rows.repartitionByRange(parts, *order[:2], spread).sortWithinPartitions(*order).drop("h")
     return ranged.mapInArrow(_encode(tokenizer, end_id, segment_ids), SEGMENTS)
 
 
