@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsdesk.functions import dates, text
 from newsdesk.functions.urls import article_id, normalize_url
 from newsdesk.operators import articles as art
-from newsdesk.operators import catalog, clusters, editions, editorial, publish, ranking, summaries, topics, vectors
+from newsdesk.operators import catalog, clusters, editions, editorial, increments, publish, ranking, summaries, topics, vectors
 from newsdesk.params import FALLBACK_WHY, ClusterParams, RankParams, Site
 from newsdesk.plans import adapter, twins
 from newsdesk.plans.adapter import LEXICON
@@ -589,6 +589,28 @@ def topic_hubs(spark, sf):
     return topics.build_topics(_bridge(spark, sf)).select("slug", F.lower("label").alias("label"), "n_stories", "indexable")
 
 
+def _index(spark, sf) -> increments.StoryIndex:
+    """Editions by deltas: the even days, the odd days in an older version, and the odd days as they are in place of it."""
+    rows = adapter.edition_rows(spark, sf).drop("is_current")
+    even, odd = (rows.where(F.dayofmonth("date") % 2 == k) for k in (0, 1))
+    older = odd.where("story_rank != 2").withColumn("titulo", F.concat(F.lit("Antes Disso "), "titulo"))
+    index = increments.StoryIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", ingest.ddl(rows), LEXICON, 16)
+    index.apply(even)
+    index.apply(older)
+    index.apply(odd, older)
+    return index
+
+
+@query(f"SELECT slug, date::VARCHAR AS date, section, titulo, {twins.stamp('updated_at')} AS updated_at FROM catalog")
+def catalog_increments(spark, sf):
+    return _index(spark, sf).catalog().select("slug", F.col("date").cast("string").alias("date"), "section", "titulo", stamp("updated_at").alias("updated_at"))
+
+
+@query(_TOPICS + "SELECT slug, lower(label) AS label, n_stories, n_stories >= 4 AS indexable FROM topics")
+def topic_increments(spark, sf):
+    return _index(spark, sf).topics().select("slug", F.lower("label").alias("label"), "n_stories", "indexable")
+
+
 @query(_TOPICS + "SELECT story_slug, topic_slug FROM bridge JOIN topics ON topics.slug = topic_slug")
 def topics_for_story(spark, sf):
     bridge = _bridge(spark, sf)

@@ -85,17 +85,17 @@ def test_a_batch_reads_its_days_alone(spark, tmp_path):
     """Over batches of a day each, rows read and summaries kept stay flat."""
     base = dt.datetime(2026, 3, 1)
     run = ingest.edition_builder(*(str(tmp_path / x) for x in ("articles", "editions", "state")), responses, PARAMS)
-    docs = spark.createDataFrame([(k, f"ention {chr(97 + k % 26) * 3} numero{k}x. Resto do texto {k}", f"src{k % 3}", "pt") for k in range(84)], "doc_id long, text string, source string, lang string")
+    docs = spark.createDataFrame([(k, f"ention {chr(97 + k % 26) * 3} numero{k}x. Resto do texto {k}", f"src{k % 3}", "pt") for k in range(60)], "doc_id long, text string, source string, lang string")
     articles = art.items_to_articles(adapter.items_of(docs)).withColumn("published_at", F.timestamp_seconds(F.lit(int(base.timestamp())) + F.col("item_rank") * 7200)).cache()
     state = Versions(spark, str(tmp_path / "state"), ingest.CACHE)
     read, kept = [], []
-    for number in range(7):
+    for number in range(5):
         run(articles.where(f"item_rank between {number * 12} and {number * 12 + 11}"), number)
         note = state.manifest()[number]
         read.append(note["rows_read"])
         kept.append(note["summaries"])
     assert max(read[3:]) - min(read[3:]) <= 2 and max(read) < 60
-    assert max(kept[4:]) - min(kept[4:]) <= 6 and sorted(state.manifest()) == list(range(7))
+    assert max(kept[3:]) - min(kept[3:]) <= 6 and sorted(state.manifest()) == list(range(5))
 
 
 def test_versions(spark, tmp_path):

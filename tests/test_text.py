@@ -96,3 +96,23 @@ def test_dates(spark):
 @pytest.mark.parametrize("given,want", [("<a & 'b'>\"", "&lt;a &amp; &apos;b&apos;&gt;&quot;")])
 def test_xml(spark, given, want):
     assert values(spark, text.xml_escape(F.col("x")), [given]) == [want]
+
+
+def test_hosts_and_paths_as_a_parser_sees_them(spark):
+    cases = {
+        "https://São.com/x": "https://xn--so-sia.com/x",
+        "https://a.com/b/../c": "https://a.com/c",
+        "https://a.com\\x": "https://a.com/x",
+        "https://a.com/./b/.": "https://a.com/b",
+        "https://a.com/..": "https://a.com/",
+        "https://a.com/a/b/../../../c/": "https://a.com/c",
+        "https://a.com/a/%2E%2e/b": "https://a.com/b",
+        "https://a.com/a/.%2E": "https://a.com/",
+        "https://a.com/a..b/.c/d.": "https://a.com/a..b/.c/d.",
+        "http:\\\\a.com\\b?x=\\y": "https://a.com/b?x=%5Cy",
+        "https://www.MÜNCHEN.de:443/ä": "https://xn--mnchen-3ya.de/%C3%A4",
+        "https://b%C3%BCcher.example/": "https://xn--bcher-kva.example/",
+        "https://日本.jp:8080/..//x": "https://xn--wgv71a.jp:8080//x",
+        "mailto:a\\b": "mailto:a\\b",
+    }
+    assert values(spark, normalize_url(F.col("x")), list(cases)) == list(cases.values())
