@@ -193,6 +193,11 @@ class Plan:
         return tuple(np.array(c, np.int64) for c in zip(*self.runs, strict=True)) if self.runs else (np.empty(0, np.int64),) * 5
 
 
+def best_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """The grouped plan, or best fit alone where that takes fewer sequences; both are made from the histogram."""
+    return min((Plan(histogram, capacity), Plan(histogram, capacity, small=capacity)), key=lambda plan: plan.sequences)
+
+
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the part and the position in it: with one count per part, every piece's rank in the whole order."""
     part, at = TaskContext.get().partitionId(), 0
@@ -219,7 +224,7 @@ def place(pieces: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
     """(pieces, sequence_id, offset) for written pieces."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan = min((Plan(histogram, capacity), Plan(histogram, capacity, small=capacity)), key=lambda p: p.sequences)  # grouped, or best fit alone
+    plan = best_plan(histogram, capacity)
     order = ["length", "doc_id", "piece", "ids_crc32"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = F.xxhash64(F.monotonically_increasing_id())  # parts equal pieces

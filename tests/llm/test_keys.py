@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsdesk.llm import exact_dedup, language_id, line_dedup, media, near_dedup, sentencepieces, substring_dedup
-from newsdesk.llm.common import Scratch
+from newsdesk.llm import exact_dedup, language_id, line_dedup, media, near_dedup, packing, sentencepieces, substring_dedup, token_files
+from newsdesk.llm.common import Scratch, spread_join
 
 N = 40
 
@@ -105,3 +105,48 @@ def test_only_the_result_is_left(spark, tmp_path):
     finally:
         Scratch.__init__ = old
     assert [len(os.listdir(s.root)) for s in made] == [1, 1]
+
+
+def sizes_of(rows):
+    return [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+
+
+def test_a_hot_leader_is_spread(spark):
+    """One key with two thirds of the rows: the join is right, and no task has three times the median's rows."""
+    n, written = 3000, Scratch(spark, "test-spread")
+    pairs = written.write(spark.range(n).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("a"), F.col("id").alias("b")), "pairs")
+    entries = spark.range(0, n - 1).select(F.col("id").alias("a"), (F.col("id") * 2).alias("twice"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spread_join(pairs, entries, "a", pairs)
+        found, sizes = joined.collect(), sorted(sizes_of(joined))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.a, r.b, r.twice) for r in found) == sorted((k if k >= 2000 else 0, k, 2 * (k if k >= 2000 else 0)) for k in range(n - 1))
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+
+
+def test_equal_rows_go_to_several_parts(spark):
+    """A row that is a third of the table: token files and packing sort it into parts of about one size, and are right."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(7, "one row that is a third of all")] * 1000 + [(k, f"text number {k}") for k in range(100, 2100)], "doc_id long, text string")
+    written = Scratch(spark, "test-parts").write(token_files.segments(docs, path), "segments")
+    sizes = sorted(r.n for r in written.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect())
+    assert len(sizes) > 2 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+    read = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_digests(written).collect())
+    assert [d for _, d, _ in read] == [7] * 1000 + [*range(100, 2100)] and all(a[0] + a[2] == b[0] for a, b in zip(read, read[1:], strict=False))
+
+
+def test_packing_is_never_worse_than_best_fit():
+    rng = random.Random(11)
+    for most in (300, 900, 2048):
+        histogram = {}
+        for _ in range(400):
+            n = rng.randrange(1, most)
+            histogram[n] = histogram.get(n, 0) + rng.randrange(1, 4)
+        chosen = packing.best_plan(histogram, 2048)
+        plain = packing.Plan(histogram, 2048, small=2048)
+        assert chosen.sequences <= plain.sequences and sum(r[2] for r in chosen.runs) == sum(histogram.values())
