@@ -75,14 +75,21 @@ def first_by_window(rows: DataFrame, key: list, order: list) -> DataFrame:
 
 
 def with_niche_flags(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Adds standalone, ambiguous and damage: whether the folded title and description hold a term of the list."""
+    """Adds standalone, ambiguous and damage: whether the folded title and description hold a term of the list; and
+    `edges`: the front and back of that text, as long as a term that goes on in another text can reach into it."""
     hay = text.fold(F.concat_ws(" ", "title", "description"))
     flags = articles.withColumn("_hay", hay)
     for name in ("standalone", "ambiguous", "damage"):
         flags = flags.withColumn(name, text.contains_any(F.col("_hay"), getattr(lexicon, name)))
-    return flags.drop("_hay")
+    reach = longest(lexicon) - 1
+    return flags.withColumn("edges", F.struct(F.left("_hay", F.lit(reach)).alias("front"), F.right("_hay", F.lit(reach)).alias("back"))).drop("_hay")
+
+
+def longest(lexicon: Lexicon) -> int:
+    """Characters of the longest term that clusters are searched for, 2 at least."""
+    return max(2, *map(len, (*lexicon.standalone, *lexicon.damage)))
 
 
 def filter_niche(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Articles with a standalone term, or an ambiguous one backed by a damage term."""
-    return with_niche_flags(articles, lexicon).where("standalone or (ambiguous and damage)").drop("standalone", "ambiguous", "damage")
+    return with_niche_flags(articles, lexicon).where("standalone or (ambiguous and damage)").drop("standalone", "ambiguous", "damage", "edges")

@@ -57,7 +57,7 @@ def build(articles: DataFrame, cache: DataFrame, responses: DataFrame, p: Params
     pool = stats.join(summaries.cluster_corpus(members, _STORY), list(_STORY))
     resolved = summaries.resolve(pool, cache, responses, summaries.fallback_summary(members, _STORY), F.col("edition_ts"), p.summary)
     resolved = checkpoint(resolved)
-    scoped = editions.with_scope(resolved.join(clusters.scope_flags(members, _STORY), list(_STORY))).where("in_scope")
+    scoped = editions.with_scope(resolved.join(clusters.scope_flags(members, _STORY, p.lexicon), list(_STORY))).where("in_scope")
     order = Window.partitionBy("edition_ts").orderBy("rank")
     scoped = scoped.withColumn("rank", F.row_number().over(order)).drop("damage", "standalone", "in_scope")
     stories = editions.to_stories(scoped, stats, editions.story_sources(members, _STORY), editions.story_image(members, _STORY))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsdesk.functions import text
+from newsdesk.operators.articles import longest
 from newsdesk.operators.graph import checkpoint, connected_components
 from newsdesk.operators.greedy import greedy_in_waves, greedy_whole
 from newsdesk.operators.vectors import guard_entities, similar_pairs, term_freq
@@ -87,6 +88,16 @@ def cluster_anchor(members: DataFrame, keys: tuple[str, ...], *columns: str) ->
     return members.groupBy(*keys).agg(row.alias("anchor")).select(*keys, "anchor.*").withColumnRenamed("id", "slug")
 
 
-def scope_flags(members: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, damage, standalone): whether a member of the cluster has such a term (see with_niche_flags)."""
-    return members.groupBy(*keys).agg(F.bool_or("damage").alias("damage"), F.bool_or("standalone").alias("standalone"))
+def scope_flags(members: DataFrame, keys: tuple[str, ...], lexicon: Lexicon) -> DataFrame:
+    """(keys, damage, standalone): whether the folded texts of a cluster's members, joined in order by spaces, hold such a
+    term (see with_niche_flags).
+
+    A term lies within a text or across a seam. At a seam only the fronts and backs of the texts count, as far as a term
+    reaches; each text adds a character and a space at least, so half as many texts before it are enough.
+    """
+    reach = longest(lexicon) - 1
+    before = F.collect_list("edges.back").over(Window.partitionBy(*keys).orderBy("member_rank").rowsBetween(-reach, -1))
+    seam = F.concat(F.right(F.array_join("_before", " "), F.lit(reach)), F.lit(" "), "edges.front")
+    rows = members.withColumn("_before", before).withColumn("_seam", F.when(F.size("_before") > 0, seam))
+    holds = lambda name: F.bool_or(F.col(name) | F.coalesce(text.contains_any(F.col("_seam"), getattr(lexicon, name)), F.lit(False))).alias(name)
+    return rows.groupBy(*keys).agg(holds("damage"), holds("standalone"))

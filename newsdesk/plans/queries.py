@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import uuid
 from collections.abc import Callable
@@ -262,10 +263,15 @@ def anchors(spark, sf):
     return clusters.cluster_anchor(adapter.members(spark, sf), _KEYS, "source").withColumn("date", F.col("date").cast("string"))
 
 
-@query("SELECT date::VARCHAR AS date, bucket, bool_or(damage) AS damage, bool_or(standalone) AS standalone FROM members GROUP BY ALL")
+_SEAMED = dataclasses.replace(LEXICON, damage=("inst", "… ti", ". la t", "… de"), standalone=("eeau", "… the r", "ates th"))
+_JOINED = "string_agg(hay, ' ' ORDER BY member_rank)"
+
+
+@query(f"SELECT date::VARCHAR AS date, bucket, {twins.any_of(_JOINED, _SEAMED.damage)} AS damage, {twins.any_of(_JOINED, _SEAMED.standalone)} AS standalone FROM members GROUP BY ALL")
 def cluster_scope_flags(spark, sf):
-    flagged = art.with_niche_flags(adapter.members(spark, sf), LEXICON)
-    return clusters.scope_flags(flagged, _KEYS).withColumn("date", F.col("date").cast("string"))
+    """With terms that may begin in one text and end in the next."""
+    flagged = art.with_niche_flags(adapter.members(spark, sf), _SEAMED)
+    return clusters.scope_flags(flagged, _KEYS, _SEAMED).withColumn("date", F.col("date").cast("string"))
 
 
 # Ranking
@@ -432,10 +438,10 @@ def parse_responses(spark, sf):
 
 @query(
     """SELECT date::VARCHAR AS date, bucket, categoria IS DISTINCT FROM 'Geral' OR damage OR standalone AS in_scope FROM (
-  SELECT date, bucket, bool_or(damage) AS damage, bool_or(standalone) AS standalone, CASE WHEN bucket % 3 = 0 THEN 'Geral' WHEN bucket % 3 = 1 THEN 'Enchente' END AS categoria FROM members GROUP BY ALL)"""
+  SELECT date, bucket, {0} AS damage, {1} AS standalone, CASE WHEN bucket % 3 = 0 THEN 'Geral' WHEN bucket % 3 = 1 THEN 'Enchente' END AS categoria FROM members GROUP BY ALL)""".format(twins.any_of(_JOINED, LEXICON.damage), twins.any_of(_JOINED, LEXICON.standalone))
 )
 def scope_gate(spark, sf):
-    flags = clusters.scope_flags(art.with_niche_flags(adapter.members(spark, sf), LEXICON), _KEYS)
+    flags = clusters.scope_flags(art.with_niche_flags(adapter.members(spark, sf), LEXICON), _KEYS, LEXICON)
     named = flags.withColumn("categoria", F.when(F.col("bucket") % 3 == 0, "Geral").when(F.col("bucket") % 3 == 1, "Enchente"))
     return editions.with_scope(named).select(F.col("date").cast("string").alias("date"), "bucket", "in_scope")
 

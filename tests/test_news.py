@@ -234,3 +234,21 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [r.norm_url for r in spark.sql("select norm_url from arrived").collect()] == ["https://x.com/a"]
+
+
+def test_scope_terms_across_texts(spark):
+    """Terms that begin in one member's text and end in the next one's, or in the one after a short text, by member order."""
+    import dataclasses
+    import random
+
+    lexicon = dataclasses.replace(LEX, damage=("casa caiu", "rio a b"), standalone=("x y z w", "fim de"))
+    rng = random.Random(12)
+    rows = [("c1", "Perto da casa", None, 1), ("c1", "Caiu a ponte", "", 2), ("c2", "Caiu a ponte", "", 1), ("c2", "Perto da casa", None, 2), ("c3", "X", "y", 1), ("c3", "z", "w", 2), ("c4", "no rio", None, 1), ("c4", "a", None, 2), ("c4", "b", "", 3)]
+    rows += [(f"r{k}", rng.choice("x y z w fim de rio a b casa caiu".split()), rng.choice(("", "x y", "de", "a")), n) for k in range(60) for n in range(1, rng.randrange(2, 7))]
+    flagged = art.with_niche_flags(spark.createDataFrame(rows, "k string, title string, description string, member_rank int"), lexicon)
+    got = {r.k: (r.damage, r.standalone) for r in clusters.scope_flags(flagged, ("k",), lexicon).collect()}
+    texts = {}
+    for k, title, description, n in sorted(rows, key=lambda r: (r[0], r[3])):
+        texts.setdefault(k, []).append(" ".join(x for x in (title, description) if x is not None).lower())
+    want = {k: tuple(any(t in " ".join(said) for t in terms) for terms in (lexicon.damage, lexicon.standalone)) for k, said in texts.items()}
+    assert got == want and got["c1"] == (True, False) and got["c2"] == (False, False) and got["c3"] == (False, True) and len(set(want.values())) == 3
