@@ -105,7 +105,7 @@ def _values(column: pa.Array) -> list:
 
 class BucketLinks:
     def __init__(self, scratch: Scratch, summaries: DataFrame, kind: Similarity):
-        """summaries: (node, sig)."""
+        """summaries: (node, sig, bytes), `bytes` being the size of the node's payload."""
         self.scratch, self.summaries, self.kind = scratch, summaries, kind
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -116,10 +116,6 @@ class BucketLinks:
         """(node, payload) that the exact check needs, for (node)."""
         raise NotImplementedError
 
-    def size_of(self, payload: str) -> F.Column:
-        """Bytes of a payload."""
-        raise NotImplementedError
-
     def pruned(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those that the cheap check lets pass."""
         kind = self.kind
@@ -131,26 +127,25 @@ class BucketLinks:
                     yield batch.select(["a", "b"]).take(pa.array(found))
 
         one, other = (self.summaries.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
-        return spread_join(spread_join(pairs, one, "a", pairs), other, "b", pairs).mapInArrow(run, "a long, b long")
+        return spread_join(pairs, one, "a", pairs).join(other, "b").mapInArrow(run, "a long, b long")
 
     def components(self, members: DataFrame) -> DataFrame:
         """(node, component) of the nodes that have a link; members: written (leader, node) with node != leader."""
         before = self.scratch.n
-        stars = members.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))  # a leader may be in many
+        stars = members.select(F.col("leader").alias("a"), F.col("node").alias("b"))  # of the two only a leader may be in many
         tested = self.scratch.write(self.pruned(stars), "pairs")
         found = self.scratch.write(components(self.verified(tested), self.scratch), "components")
 
         everyone = members.unionByName(members.select("leader", F.col("leader").alias("node")).distinct())
         label = F.coalesce("component", "node").alias("label")
         rows = self.scratch.write(everyone.join(found, "node", "left").select("leader", "node", label), "labelled")
-        hit = self.dealt(rows.withColumn("weight", F.lit(1.0))).join(self.summaries, "node")
+        hit = self.dealt(rows.withColumn("weight", F.lit(1.0))).join(self.summaries.select("node", "sig"), "node")
         hit = self.in_groups(hit, "sig").mapInArrow(_plausible(self.kind), "leader long, node long").distinct()
-        hit = self.scratch.write(hit.join(found, "node", "left").select("leader", "node", label), "residual")
+        weight = F.greatest(F.lit(1.0), F.col("bytes") / UNIT).alias("weight")
+        hit = hit.join(found, "node", "left").join(self.summaries.select("node", "bytes"), "node")
+        hit = self.scratch.write(hit.select("leader", "node", label, weight), "residual")
         nodes = self.scratch.write(hit.select("node").distinct(), "nodes")
-        payloads = self.payloads(nodes)
-        weight = F.greatest(F.lit(1.0), self.size_of("payload") / UNIT)
-        weighed = self.scratch.write(hit.join(payloads.select("node", weight.alias("weight")), "node"), "weighed")
-        links = self.dealt(weighed).join(payloads, "node")
+        links = self.dealt(hit).join(self.payloads(nodes), "node")
         links = self.scratch.write(self.in_groups(links, "payload").mapInArrow(_links(self.kind), "a long, b long").distinct(), "links")
         joined = self.scratch.write(joined_components(found, links, self.scratch), "components")
         self.scratch.drop_since(before, joined)

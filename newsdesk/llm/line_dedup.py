@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,8 +182,8 @@ def _entries(tau: int):
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "line", 1 << 19):
-        rows = summaries(batch.column("line").to_pylist())
-        yield pa.record_batch([batch.column("node"), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "sig"])
+        rows, sizes = summaries(batch.column("line").to_pylist()), pc.binary_length(batch.column("line")).cast(pa.int64())
+        yield pa.record_batch([batch.column("node"), pa.array([r.tobytes() for r in rows], pa.binary()), sizes], ["node", "sig", "bytes"])
 
 
 def _within(tau: int):
@@ -235,7 +236,7 @@ class LineLinks(BucketLinks):
     def __init__(self, scratch: Scratch, lines: DataFrame, tau: int):
         """lines: written (node, line)."""
         self.lines, self.tau = lines, tau
-        sigs = scratch.write(lines.mapInArrow(_summaries, "node long, sig binary"), "summaries")
+        sigs = scratch.write(lines.mapInArrow(_summaries, "node long, sig binary, bytes long"), "summaries")
         super().__init__(scratch, sigs, Edits(tau))
 
     def members(self) -> DataFrame:
@@ -258,12 +259,9 @@ class LineLinks(BucketLinks):
     def payloads(self, nodes: DataFrame) -> DataFrame:
         return nodes.join(self.lines.select("node", F.col("line").alias("payload")), "node")
 
-    def size_of(self, payload: str) -> F.Column:
-        return F.octet_length(payload)
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         one, other = (self.lines.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-        return self.scratch.write(spread_join(spread_join(pairs, other, "b", pairs), one, "a", pairs).mapInArrow(_within(self.tau), "a long, b long"), "links")
+        return self.scratch.write(spread_join(pairs.join(other, "b"), one, "a", pairs).mapInArrow(_within(self.tau), "a long, b long"), "links")
 
 
 def duplicate_lines(docs: DataFrame, tau: int = 2) -> DataFrame:

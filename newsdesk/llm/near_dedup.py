@@ -154,10 +154,10 @@ class NearDuplicates(BucketLinks):
         signed = self.docs.mapInArrow(_sign(size), "doc_id long, h long, n_shingles long, k1 long, k2 long, sig binary")
         self.rows = scratch.write(signed, "rows")
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")  # nulls last
-        alike = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(first, F.any_value("sig").alias("sig"), F.count("*").alias("n"))
-        alike = alike.select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h"), "sig", "n")
+        alike = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(first, F.any_value("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+        alike = alike.select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h"), "sig", (8 * F.col("n_shingles")).alias("bytes"), "n")
         self.classes = scratch.write(alike.withColumn("node", F.monotonically_increasing_id()), "classes")
-        super().__init__(scratch, self.classes.select("node", "sig"), Jaccard(percent))
+        super().__init__(scratch, self.classes.select("node", "sig", "bytes"), Jaccard(percent))
 
     def members(self) -> DataFrame:
         """(leader, node) of classes that share a bucket with a smaller one, its smallest."""
@@ -174,9 +174,6 @@ class NearDuplicates(BucketLinks):
         wanted = nodes.join(self.classes.select("node", "rep", "rep_h", "k1", "k2"), "node")
         return self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["rep"]) & (self.docs["h"] == wanted["rep_h"])).select("text", "node", "k1", "k2")
 
-    def size_of(self, payload: str) -> F.Column:
-        return 8 * F.size(payload)
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = self.payloads(self.scratch.write(nodes, "nodes"))
@@ -184,7 +181,7 @@ class NearDuplicates(BucketLinks):
         shared = F.size(F.array_intersect("ma", "mb")).cast("long")
         all_of = F.size("ma") + F.size("mb") - shared
         # b first: the shuffle to a then carries one set a pair; that of a leader with many members is salted
-        links = spread_join(spread_join(pairs, other, "b", pairs), one, "a", pairs).where(100 * shared >= self.percent * all_of).select("a", "b")
+        links = spread_join(pairs.join(other, "b"), one, "a", pairs).where(100 * shared >= self.percent * all_of).select("a", "b")
         return self.scratch.write(links, "links")
 
     def result(self) -> DataFrame:
