@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["normalize_urls", "strip_html", "strip_caption", "date_labels", "dedupe_articles", "niche_filter", "similar_pairs", "top_stories", "resolve_summaries", "edition_rows", "topic_hubs", "newsletter", "social_text", "validate_intros", "editorial_unknown_names", "scored_pool", "url_inventory", "feed_items", "edition_archive", "written_editions", "editorial_archive", "summary_state", "stories", "json_ld_pages", "cluster_components", "stream_timely"]
+SOME = ["normalize_urls", "strip_html", "strip_caption", "date_labels", "dedupe_articles", "niche_filter", "similar_pairs", "entity_guard", "cluster_scope_flags", "stream_summaries", "top_stories", "resolve_summaries", "edition_rows", "topic_hubs", "newsletter", "social_text", "validate_intros", "editorial_unknown_names", "scored_pool", "url_inventory", "feed_items", "edition_archive", "written_editions", "editorial_archive", "summary_state", "stories", "json_ld_pages", "cluster_components", "stream_timely"]
 
 
 def plain(v):
