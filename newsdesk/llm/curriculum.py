@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from newsdesk.llm.common import Scratch, quoted, skew_join, table
 
 Knots = Sequence[tuple[float, float]]
-NEW = ("size", "source_size", "target", "positions", "number")
+NEW = ("size", "source_size", "target", "positions", "position", "number")
 #: Integrals 5, 2 and 1: the first fades, the second grows, the third is even.
 CURRICULA: tuple[Knots, ...] = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 1.0)))
 

@@ -62,7 +62,7 @@ def test_mix_against_a_plain_version(spark):
 
 def test_positions_follow_the_schedules(spark):
     """The share of words a source has up to a time is that of its schedule's integral."""
-    docs = spark.createDataFrame([(d, s, 10) for d in range(400) for s in "abc"], "doc_id long, source string, size long")
+    docs = spark.createDataFrame([(d, s, 10, "own") for d in range(400) for s in "abc"], "doc_id long, source string, size long, position string")
     copies = curriculum.training_order(curriculum.mix(docs)).collect()
     at = [r.position for r in copies if r.position is not None]
     assert at == sorted(at) and [r.position for r in copies][len(at) :] == [None] * (len(copies) - len(at))
