@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from newsdesk.llm.common import Scratch, table
+from newsdesk.llm.common import Scratch, slices, table
 from newsdesk.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,10 +36,10 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = encoder(path)
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.concatenate([chunks.encode(text.as_py()).astype("<u4"), end])
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), chunks.encode_all(batch.column("text")), strict=True):
+                ids = np.concatenate([ids.astype("<u4"), end])
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = ids[at : at + capacity]
                     rows.append((doc, k, at, len(piece), zlib.crc32(piece.tobytes())))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from newsdesk.llm.common import Scratch, table
+from newsdesk.llm.common import Scratch, slices, table
 from newsdesk.llm.tokens import encoder
 
 BLOCK = 4096
@@ -92,9 +92,9 @@ def _encode(path: str, end_id: int, segment_ids: int):
             }
             return pa.RecordBatch.from_pylist([row], SCHEMA)
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.concatenate([chunks.encode(text.as_py()), end])
+        for batch in slices(batches, "text"):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), chunks.encode_all(batch.column("text")), strict=True):
+                ids = np.concatenate([ids, end])
                 if held and n + len(ids) > segment_ids:
                     yield close()
                     before, segment, n = before + n, segment + 1, 0
