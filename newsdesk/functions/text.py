@@ -57,9 +57,13 @@ def fold_plain(c: Column) -> Column:
     return F.lower(strip_accents(c))
 
 
+class Pattern(str):
+    """A term that is read as a regular expression, of one character for each of its own."""
+
+
 def alternatives(terms) -> str:
     """A pattern that finds any of the terms as a substring."""
-    return "|".join(re.escape(t).replace("\\ ", " ") for t in terms) or r"(?!)"
+    return "|".join(f"(?d:{t})" if isinstance(t, Pattern) else re.escape(t).replace("\\ ", " ") for t in terms) or r"(?!)"
 
 
 def contains_any(folded: Column, terms) -> Column:
