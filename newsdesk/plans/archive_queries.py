@@ -24,6 +24,14 @@ def _folder(spark: SparkSession) -> str:
 
 # Sources and sinks
 
+
+
+def _folder_value(c: F.Column) -> F.Column:
+    """What a partition's folder stands for: escaped by Spark, then as part of a URI; null has a folder too."""
+    plain = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    return F.nullif(plain(plain(c)), F.lit("__HIVE_DEFAULT_PARTITION__"))
+
+
 # XML readers drop white space at the ends of values and cannot hold control characters.
 _PLAIN = "regexp_replace({}, '[^\\x20-\\x7E\\x{{A0}}-\\x{{D7FF}}]+', ' ', 'g')"
 
@@ -43,9 +51,10 @@ def feed_items(spark, sf):
     at = _folder(spark)
     rows.write.format("xml").option("rootTag", "channel").option("rowTag", "item").partitionBy("source").save(at)
     found = feeds.read_rss(spark, f"{at}/*", F.current_timestamp())
-    name = F.regexp_extract("file", r"source=([^/]+)/", 1)
+    name = _folder_value(F.regexp_extract("file", r"source=([^/]+)/", 1))
+    held = lambda c: F.nullif(F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+\z", ""), F.lit(""))  # noqa: E731  an empty element is no value
     return found.select(
-        F.regexp_extract("link", r"(\d+)$", 1).cast("long").alias("doc_id"), F.regexp_extract(name, r"(\d+)$", 1).cast("int").alias("feed_rank"), name.alias("source"), "title", F.col("contentSnippet").alias("said"),
+        F.regexp_extract("link", r"(-?\d+)$", 1).cast("long").alias("doc_id"), F.regexp_extract(name, r"(\d+)$", 1).cast("int").alias("feed_rank"), name.alias("source"), held("title").alias("title"), held("contentSnippet").alias("said"),
         F.col("pubDate").alias("pub"), F.col("enclosure.url").alias("image"),
     )
 

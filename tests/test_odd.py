@@ -6,6 +6,10 @@ from test_queries import plain
 import __spark_entry__ as entry
 
 ODD = {
+    "feed_items": [
+        (0, ". no title", "src1"), (1, "", "src1"), (2, None, "src2"), (3, "\n\nsaid", "src2"), (4, "ends  　", "src2"), (5, "  begins. Said", "src2"),
+        (6, "line  . said  ", "src2"), (7, "no source", None), (8, "a name", "a+b/c %20 8"), (-9, "below zero", "src9"), (10, "null", "src1"), (None, "no number", "src3"),
+    ],
     "cluster_scope_flags": [(k, f"{front}. Resto {k}", "src1") for k, front in enumerate(["et la treoi", "eet la treoi", "caso. la tal", "x … tio", "um … dia", "nada", "os ates thx", "outra"])],
 }
 
