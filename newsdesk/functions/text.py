@@ -19,6 +19,7 @@ PUNCTUATION = '.,;:!?()"“”'
 
 #: A run of white space that isn't one plain space; the first test passes over ordinary characters quickly.
 _RUN = rf"(?![\x21-\x7E])(?:\x20{WS}+|(?!\x20){WS}+)"
+_SPACES = rf"(?![\x21-\x7E]){WS}+"
 
 
 def squeeze(c: Column) -> Column:
@@ -27,7 +28,7 @@ def squeeze(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, f"^{WS}+|{_SPACES}$", "")
 
 
 @functools.cache
@@ -117,11 +118,8 @@ def tokens(c: Column, stopwords) -> Column:
 
 def named_entities(c: Column) -> Column:
     """Distinct folded names in a title: from the second word on, acronyms or capitalised words of four or more."""
-    words = F.filter(F.split(F.regexp_replace(c, rf"[{re.escape(PUNCTUATION)}]+", ""), f"{WS}+"), lambda t: t != "")
-    named = F.filter(
-        F.slice(words, 2, 1 << 30),
-        lambda t: t.rlike(r"^[A-ZÀ-Ý][A-Z0-9À-Ý\-]+$") | (t.rlike(r"^[A-ZÀ-Ý]") & (F.char_length(t) >= 4)),
-    )
+    words = F.filter(F.split(F.regexp_replace(c, rf"[{re.escape(PUNCTUATION)}]+", ""), _SPACES), lambda t: t != "")
+    named = F.filter(F.slice(words, 2, 1 << 30), lambda t: t.rlike(r"(?s)^[A-ZÀ-Ý](?:.{3}|[A-Z0-9À-Ý\-]+$)"))
     return F.array_distinct(F.transform(named, fold_plain))
 
 

@@ -27,7 +27,8 @@ def is_common(entity: Column, lexicon: Lexicon = Lexicon()) -> Column:
 def unknown_entities(texts: Column, folded_corpus: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """Distinct names in the texts that neither the corpus holds nor are common terms."""
     named = F.array_distinct(F.flatten(F.transform(texts, text.named_entities)))
-    return F.filter(named, lambda e: ~F.contains(folded_corpus, e) & ~is_common(e, lexicon))
+    # as a variable of its own: an expression would be moved into the inner function and folded again for each name
+    return F.get(F.transform(F.array(folded_corpus), lambda corpus: F.filter(named, lambda e: ~is_common(e, lexicon) & ~F.contains(corpus, e))), F.lit(0))
 
 
 def validate_editorial(rows: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
