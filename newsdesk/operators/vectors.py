@@ -16,6 +16,15 @@ def term_freq(articles: DataFrame, stopwords, title_weight: int = 3, keys: tuple
     return articles.select(*keys, F.inline(both)).groupBy(*keys, "term").agg(F.sum("w").cast("long").alias("weight"))
 
 
+def term_lists(articles: DataFrame, stopwords, title_weight: int = 3) -> DataFrame:
+    """(id, terms, weights, entities) of articles, each id once, without a shuffle: a term has a weight for each occurrence,
+    which all_pairs() sums."""
+    of = lambda c: text.tokens(F.coalesce(c, F.lit("")), stopwords)
+    rows = articles.select("id", of("title").alias("t"), of("description").alias("d"), text.named_entities(F.col("title")).alias("entities"))
+    weights = F.concat(F.array_repeat(F.lit(title_weight).cast("long"), F.size("t")), F.array_repeat(F.lit(1).cast("long"), F.size("d")))
+    return rows.select("id", F.concat("t", "d").alias("terms"), weights.alias("weights"), "entities")
+
+
 def _terms(left: DataFrame, right: DataFrame, key: list[str], heavy: int, cell_pairs: int) -> DataFrame:
     """(key, term, df, rank, grid) of the terms on both sides: how frequent, the place among the `heavy` most frequent
     ones (null for the others), and the side of the square of cells that the term's pairs are split over."""
