@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsdesk.functions import text
+from newsdesk.operators.allpairs import all_pairs
 from newsdesk.operators.graph import checkpoint
 
 
@@ -94,7 +95,11 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float, group: tupl
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, group: tuple[str, ...] = ()) -> DataFrame:
-    """(group, a, b, similarity), a < b, of ids whose cosine reaches the threshold, within a group: see cosine_join()."""
+    """(group, a, b, similarity), a < b, of ids whose cosine reaches the threshold, within a group: see cosine_join();
+    without groups, see all_pairs()."""
+    if not group and threshold > 0:
+        lists = vectors.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("v"))
+        return all_pairs(lists.select("id", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights")), threshold)
     vectors = checkpoint(vectors)
     return cosine_join(vectors, vectors, threshold, group)
 

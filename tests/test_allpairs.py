@@ -35,7 +35,7 @@ def test_nothing_to_pair(spark):
     assert all_pairs(spark.createDataFrame([("a", [], [])], "id string, terms array<string>, weights array<long>"), 0.3).collect() == []
 
 
-@pytest.mark.parametrize("name", ["entity_guard"])
+@pytest.mark.parametrize("name", ["similar_pairs", "entity_guard"])
 def test_no_pairs_are_shuffled(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
