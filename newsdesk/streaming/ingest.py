@@ -43,9 +43,12 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def write(self, rows: DataFrame, number: int) -> None:
-        """Under the batch's number: a batch that is written again replaces its own rows."""
+    def write(self, rows: DataFrame, number: int, days: int = 1) -> None:
+        """Under the batch's number: a batch that is written again replaces its own rows. A day goes to one task, or, where
+        the batch has fewer `days` than there are tasks, to as many as share them: not to a file in each."""
         rows = rows.withColumns({"day": F.to_date("published_at"), "batch": F.lit(number).cast("long")})
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(tasks, "day", F.pmod(F.xxhash64("id"), F.lit(math.ceil(tasks / max(1, days)))))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.path)
 
     def read(self, first: float, last: float, number: int) -> DataFrame:
@@ -77,8 +80,8 @@ def edition_builder(articles_path: str, editions_path: str, state_path: str, res
         window, ahead = 3600 * p.cluster.window_hours, 3600 * p.cluster.ahead_hours
         state, store = Versions(spark, state_path, CACHE), Store(spark, articles_path, ddl(batch))
         at = F.col("published_at").cast("double")
-        store.write(batch, number)
         oldest, newest = batch.agg(F.min(at), F.max(at)).first()  # two values
+        store.write(batch, number, 1 if oldest is None else math.ceil((newest - oldest) / (24 * 3600)) + 1)
         if oldest is None:
             return
         cache, before = state.before(number)
